@@ -1,6 +1,12 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from . import quality_rules
+from . import decontamination, quality_rules
 
-QUERIES = {"op10_quality_rules": quality_rules.op10_quality_rules}
-ORACLES = {"op10_quality_rules": quality_rules.ORACLE}
+QUERIES = {
+    "op7_decontamination": decontamination.op7_decontamination,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
+}
+ORACLES = {
+    "op7_decontamination": decontamination.ORACLE,
+    "op10_quality_rules": quality_rules.ORACLE,
+}
