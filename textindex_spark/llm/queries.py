@@ -1,8 +1,9 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from . import decontamination, quality_rules
+from . import decontamination, packing, quality_rules
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op7_decontamination": decontamination.op7_decontamination,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
