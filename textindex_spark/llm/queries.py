@@ -1,11 +1,12 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from . import chat, decontamination, packing, quality_rules, token_store
+from . import chat, decontamination, packing, quality_rules, token_store, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_token_store": token_store.op2_token_store,
     "op3_chat": chat.op3_chat,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op7_decontamination": decontamination.op7_decontamination,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
