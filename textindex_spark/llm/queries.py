@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from . import chat, decontamination, packing, quality_rules, token_store, toxicity
+from . import chat, decontamination, packing, quality_model, quality_rules, token_store, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_chat": chat.op3_chat,
     "op4_toxicity": toxicity.op4_toxicity,
     "op7_decontamination": decontamination.op7_decontamination,
+    "op8_quality": quality_model.op8_quality,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
