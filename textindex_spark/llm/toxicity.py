@@ -3,7 +3,8 @@
 Fitting. Over a bounded labelled sample (PER_CLASS documents of each class, distinct texts), each token's share of toxic
 and of other documents is smoothed by a Dirichlet prior and gives a log-odds score. A token counts by itself and by its
 prefixes; an unseen word takes the score of its longest prefix that has one, so inflected forms of a toxic stem are
-found. Tokens whose log-odds are neither large nor sure score -DRIFT, which makes the mean score negative.
+found. Tokens whose log-odds are neither large nor sure score -DRIFT, which makes the mean score negative; a word that
+a text repeats scores the first time only.
 
 Scan. All maximal scoring segments of a text are found in one linear pass over its scores. Extreme-value statistics of
 such segments (lambda and K fitted to the token scores of the documents labelled 0) turn a segment of score S in a text
@@ -38,7 +39,7 @@ PER_CLASS = 3000
 MAX_TOKENS = 50_000
 PREFIXES = (6, 5, 4)
 #: A token carries a score of its own from this log-odds and this many standard errors on.
-LEAST_ODDS, LEAST_Z = 2.0, 3.0
+LEAST_ODDS, LEAST_Z = 3.0, 3.0
 PRIOR = 0.5
 DRIFT = 0.1
 MAX_EXPECTED = 1.0
@@ -104,6 +105,12 @@ class Model:
         values = [*map(memory.__getitem__, words)]
         if not values or max(values) <= 0:
             return []
+        seen: set[str] = set()
+        for i, v in enumerate(values):
+            if v > 0:  # a word said again tells nothing new
+                if words[i] in seen:
+                    values[i] = 0.0
+                seen.add(words[i])
         least = math.log(self.k * len(words) / MAX_EXPECTED)
         return [(a, b, self.lam * s - math.log(self.k * len(words))) for a, b, s in segments(values) if self.lam * s > least]
 
