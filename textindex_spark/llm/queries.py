@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from . import chat, decontamination, packing, quality_model, quality_rules, token_store, toxicity
+from . import chat, decontamination, html_extract, packing, quality_model, quality_rules, token_store, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_quality": quality_model.op8_quality,
+    "op9_html": html_extract.op9_html,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
