@@ -142,18 +142,37 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     return {"mean": mean.tolist(), "scale": scale.tolist(), "weights": weights.tolist(), "knots": knots, "values": values}
 
 
+def predict(texts: list[str | None], m: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(calibrated, raw) scores of texts."""
+    x = np.array([statistics(t) for t in texts], dtype=float).reshape(-1, len(STATISTICS))
+    raw = np.round(cosines(x, np.array(m["mean"]), np.array(m["scale"])) @ np.array(m["weights"]), 6)
+    return np.round(np.clip(np.interp(raw, m["knots"], m["values"]), 0, 1), 6), raw
+
+
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            x = np.array([statistics(t) for t in batch.column(1).to_pylist()], dtype=float).reshape(-1, len(STATISTICS))
-            raw = cosines(x, np.array(m["mean"]), np.array(m["scale"])) @ np.array(m["weights"])
-            score = np.clip(np.interp(np.round(raw, 6), m["knots"], m["values"]), 0, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(score, 6)), pa.array(np.round(raw, 6))], ["doc_id", "score", "raw"])
+            score, raw = predict(batch.column(1).to_pylist(), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(raw)], ["doc_id", "score", "raw"])
 
     return run
 
 
+def _kept(shared, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score, _ = predict(batch.column(batch.schema.get_field_index("text")).to_pylist(), shared.value)
+            yield batch.filter(pa.array(score >= threshold))
+
+    return run
+
+
+def keep(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, whose score reaches the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_kept(shared, threshold), docs.schema)
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, calibrated score and raw ridge score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -253,6 +253,23 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scored(shared), SCORED)
 
 
+def _kept(shared, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, memory = Model(*shared.value), {}
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            evidence = [sum(x[2] for x in model.scan(WORD.findall((t or "").lower()), memory)) for t in texts]
+            yield batch.filter(pa.array([round(model.score(e), 6) < threshold for e in evidence], pa.bool_()))
+
+    return run
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, whose score is under the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model.state())
+    return docs.mapInArrow(_kept(shared, threshold), docs.schema)
+
+
 def op4_toxicity(spark, sf_dir) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     scored = score(docs, fit(docs, read_table(spark, sf_dir, "labels")))
