@@ -1,4 +1,571 @@
-"""The registered queries and the SQL each is checked against."""
+"""The registered queries, each over whole tables, and the SQL each is checked against where SQL can express it."""
+
+from __future__ import annotations
+
+from decimal import Decimal
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import bits, hashing, wideint
+from ..operators import coding, dynamic, factorize, factors, predecessor, sketch, succinct, textindex
+from ..sources import files, random
+from .durable import materialize
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame under its name, with the SQL that must give the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def micros(column: str):
+    """Microseconds since 1970 of a timestamp without time zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {column})")
+
+
+# predecessor search
+
+
+@query("SELECT event_id, epoch_us(e.ts)::BIGINT AS x, epoch_us(o.k)::BIGINT AS pred FROM events e ASOF LEFT JOIN (SELECT DISTINCT o_orderdate AS k FROM orders) o ON e.ts >= o.k")
+def pred_events_orders(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", micros("ts").alias("x"))
+    return predecessor.predecessor(events, table(spark, sf_dir, "orders").select(micros("o_orderdate").alias("k")), "x", "k", shift=36)
+
+
+@query("SELECT event_id, epoch_us(e.ts)::BIGINT AS x, epoch_us(o.k)::BIGINT AS succ FROM events e ASOF LEFT JOIN (SELECT DISTINCT o_orderdate AS k FROM orders) o ON e.ts <= o.k")
+def succ_events_orders(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", micros("ts").alias("x"))
+    return predecessor.successor(events, table(spark, sf_dir, "orders").select(micros("o_orderdate").alias("k")), "x", "k", shift=36)
+
+
+@query("WITH k AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS pos FROM (SELECT DISTINCT floor(o_totalprice)::BIGINT AS k FROM orders)) SELECT l_orderkey, l_linenumber, floor(l_extendedprice)::BIGINT AS x, k AS pred, pos::BIGINT AS pos FROM lineitem ASOF LEFT JOIN k ON floor(l_extendedprice)::BIGINT >= k.k")
+def pred_rank_price(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.floor("l_extendedprice").cast("bigint").alias("x"))
+    return predecessor.search(lines, table(spark, sf_dir, "orders").select(F.floor("o_totalprice").cast("bigint").alias("k")), "x", "k", shift=10).drop("succ")
+
+
+_BY_NATION = "WITH k AS (SELECT c_nationkey, k, row_number() OVER (PARTITION BY c_nationkey ORDER BY k) - 1 AS pos FROM (SELECT DISTINCT c_nationkey, c_custkey AS k FROM customer)), q AS (SELECT o_orderkey, (o_orderkey % 25)::INTEGER AS c_nationkey, o_custkey AS x FROM orders), p AS (SELECT q.*, k.k AS pred, k.pos FROM q ASOF LEFT JOIN k ON q.c_nationkey = k.c_nationkey AND q.x >= k.k) SELECT p.o_orderkey, p.c_nationkey, p.x, p.pred, p.pos::BIGINT AS pos, k.k AS succ FROM p ASOF LEFT JOIN k ON p.c_nationkey = k.c_nationkey AND p.x <= k.k"
+
+
+def _by_nation(spark, sf_dir):
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 25).cast("int").alias("c_nationkey"), F.col("o_custkey").alias("x"))
+    return asked, table(spark, sf_dir, "customer").select("c_nationkey", F.col("c_custkey").alias("k"))
+
+
+@query(_BY_NATION)
+def pred_bucketed_custkey(spark, sf_dir):
+    return predecessor.search(*_by_nation(spark, sf_dir), "x", "k", ["c_nationkey"], shift=8)
+
+
+@query(_BY_NATION)
+def pred_windowed_custkey(spark, sf_dir):
+    return predecessor.search_windowed(*_by_nation(spark, sf_dir), "x", "k", ["c_nationkey"])
+
+
+@query("WITH k AS (SELECT s_suppkey AS k, row_number() OVER (ORDER BY s_suppkey) - 1 AS pos FROM supplier), p AS (SELECT l_orderkey, l_linenumber, l_partkey AS x, k AS pred, pos::BIGINT AS pos FROM lineitem ASOF LEFT JOIN k ON l_partkey >= k.k) SELECT p.*, k.k AS succ FROM p ASOF LEFT JOIN k ON p.x <= k.k")
+def pred_broadcast_suppkey(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("x"))
+    return predecessor.search_broadcast(lines, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")), "x", "k")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT s_suppkey FROM supplier)")
+def set_contains(spark, sf_dir):
+    return predecessor.contains(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), table(spark, sf_dir, "supplier"), "l_partkey", "s_suppkey").drop("l_partkey")
+
+
+# dynamic sets
+
+_OPS = "ops AS (SELECT event_id AS op_seq, user_id AS key, CASE WHEN event_type = 'view' THEN 'Q' WHEN row_number() OVER (PARTITION BY user_id, event_type = 'view' ORDER BY event_id) % 2 = 1 THEN 'I' ELSE 'D' END AS opcode FROM events), iv AS (SELECT * FROM (SELECT key, opcode, op_seq AS ins, lead(op_seq) OVER (PARTITION BY key ORDER BY op_seq) AS del FROM ops WHERE opcode <> 'Q') WHERE opcode = 'I')"
+
+
+def operations(spark, sf_dir) -> DataFrame:
+    """Views are queries; a user's other events insert and delete the user in turn."""
+    events = table(spark, sf_dir, "events")
+    view = F.col("event_type") == "view"
+    n = F.row_number().over(Window.partitionBy("user_id", view).orderBy("event_id"))
+    return events.select(F.col("event_id").alias("op_seq"), F.when(view, "Q").when(n % 2 == 1, "I").otherwise("D").alias("opcode"), F.col("user_id").alias("key"))
+
+
+@query(f"WITH {_OPS} SELECT key, ins, del FROM iv")
+def dyn_intervals(spark, sf_dir):
+    return dynamic.intervals(operations(spark, sf_dir))
+
+
+_LIVE = f"WITH {_OPS} SELECT op_seq, q.key AS x, {{pick}}(iv.key) AS answer FROM (SELECT * FROM ops WHERE opcode = 'Q') q LEFT JOIN iv ON iv.key {{side}} q.key AND iv.ins < q.op_seq AND coalesce(iv.del, 1::BIGINT << 60) > q.op_seq GROUP BY ALL"
+
+
+def _nearest(spark, sf_dir, below):
+    ops = materialize(operations(spark, sf_dir))
+    return dynamic.nearest(ops.where("opcode = 'Q'").select("op_seq", F.col("key").alias("x")), dynamic.intervals(ops), "x", "op_seq", shift=4, below=below)
+
+
+@query(_LIVE.format(pick="max", side="<="))
+def dyn_ops_predecessor(spark, sf_dir):
+    return _nearest(spark, sf_dir, True)
+
+
+@query(_LIVE.format(pick="min", side=">="))
+def dyn_ops_successor(spark, sf_dir):
+    return _nearest(spark, sf_dir, False)
+
+
+@query(f"WITH {_OPS}, c AS (SELECT ins AS op_seq, 1 AS d FROM iv UNION ALL SELECT del, -1 FROM iv WHERE del IS NOT NULL) SELECT op_seq, (sum(d) OVER (ORDER BY op_seq))::BIGINT AS size FROM c")
+def dyn_ops_size(spark, sf_dir):
+    return dynamic.size_over_time(operations(spark, sf_dir))
+
+
+@query(f"WITH {_OPS}, c AS (SELECT ins AS op_seq, 1 AS d FROM iv UNION ALL SELECT del, -1 FROM iv WHERE del IS NOT NULL), s AS (SELECT op_seq, (sum(d) OVER (ORDER BY op_seq))::BIGINT AS size FROM c) SELECT op_seq, size, min(key) AS min_key, max(key) AS max_key FROM s LEFT JOIN iv ON ins <= op_seq AND coalesce(del, 1::BIGINT << 60) > op_seq GROUP BY ALL")
+def dyn_extremes(spark, sf_dir):
+    return dynamic.extremes_over_time(materialize(operations(spark, sf_dir)))
+
+
+@query(_LIVE.format(pick="max", side="<="))
+def stream_ops_replay(spark, sf_dir):
+    """The same answers as dyn_ops_predecessor, from a stream of the operations, replayed with state."""
+    import uuid
+
+    from ..streaming.replay import replay
+
+    ops = materialize(operations(spark, sf_dir))
+    root = ops.inputFiles()[0].rsplit("/", 2)[0]
+    name = f"{root}/replay-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(ops.schema).parquet(ops.inputFiles()[0].rsplit("/", 1)[0])
+    stream = replay(source).writeStream.format("parquet").option("path", f"{name}/out").option("checkpointLocation", f"{name}/state").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return spark.read.schema("bucket long, op_seq long, key long, pred long, succ long, size long").parquet(f"{name}/out").select("op_seq", F.col("key").alias("x"), F.col("pred").alias("answer"))
+
+
+# bit vectors and packed integers
+
+_BITS = "b AS (SELECT l_suppkey AS vec_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_returnflag) - 1 AS i, (l_returnflag = 'R')::INTEGER AS bit FROM lineitem)"
+
+
+def bit_table(spark, sf_dir) -> DataFrame:
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_returnflag")
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.select(F.col("l_suppkey").alias("vec_id"), (F.row_number().over(w) - 1).cast("bigint").alias("i"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("bit"))
+
+
+@query(f"WITH {_BITS} SELECT vec_id, (i // 64)::BIGINT AS block, sum(bit::HUGEINT << (i % 64)::INTEGER)::VARCHAR AS word, count(*)::BIGINT AS n FROM b GROUP BY ALL")
+def bit_pack_words(spark, sf_dir):
+    words = succinct.pack(bit_table(spark, sf_dir))
+    unsigned = F.when(F.col("word") < 0, F.col("word").cast("decimal(20,0)") + F.lit(Decimal(1 << 64))).otherwise(F.col("word").cast("decimal(20,0)"))
+    return words.select("vec_id", "block", unsigned.cast("decimal(20,0)").cast("string").alias("word"), "n")
+
+
+@query(f"WITH {_BITS} SELECT vec_id, i, bit::BIGINT AS bit, (sum(bit) OVER w)::BIGINT AS rank1, (i + 1 - sum(bit) OVER w)::BIGINT AS rank0 FROM b WINDOW w AS (PARTITION BY vec_id ORDER BY i)")
+def bit_rank(spark, sf_dir):
+    b = bit_table(spark, sf_dir)
+    return succinct.rank(b.select("vec_id", "i"), succinct.pack(b))
+
+
+_SELECT = f"WITH {_BITS}, p AS (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY i) AS k FROM b WHERE bit = {{bit}}) SELECT q.vec_id, q.k, p.i AS pos FROM (SELECT vec_id, i + 1 AS k FROM b) q LEFT JOIN p ON p.vec_id = q.vec_id AND p.k = q.k"
+
+
+@query(_SELECT.format(bit=1))
+def bit_select1(spark, sf_dir):
+    b = bit_table(spark, sf_dir)
+    return succinct.select(b.select("vec_id", (F.col("i") + 1).alias("k")), succinct.pack(b), bit=1)
+
+
+@query(_SELECT.format(bit=0))
+def bit_select0(spark, sf_dir):
+    b = bit_table(spark, sf_dir)
+    return succinct.select(b.select("vec_id", (F.col("i") + 1).alias("k")), succinct.pack(b), bit=0)
+
+
+@query("SELECT l_orderkey, l_linenumber, w::BIGINT AS width, l_partkey & ((1::BIGINT << w::INTEGER) - 1) AS value FROM lineitem, (SELECT unnest([1, 4, 7, 12, 33]) AS w)")
+def intvector_mask(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    width = F.explode(F.array(*[F.lit(w).cast("bigint") for w in (1, 4, 7, 12, 33)]))
+    return lines.select("l_orderkey", "l_linenumber", "l_partkey", width.alias("width")).select("l_orderkey", "l_linenumber", "width", succinct.masked(F.col("l_partkey"), F.col("width")).alias("value"))
+
+
+@query("SELECT l_suppkey AS vec_id, n, width, nw AS native_width, ((n * width + 63) // 64 * 8)::BIGINT AS packed_bytes, ((n * nw + 7) // 8)::BIGINT AS native_bytes FROM (SELECT *, CASE WHEN width <= 1 THEN 1 WHEN width <= 8 THEN 8 WHEN width <= 16 THEN 16 WHEN width <= 32 THEN 32 WHEN width <= 40 THEN 40 ELSE 64 END::BIGINT AS nw FROM (SELECT l_suppkey, count(*)::BIGINT AS n, greatest(length(bin(max(l_orderkey))), 1)::BIGINT AS width FROM lineitem GROUP BY 1))")
+def fixed_width_selector(spark, sf_dir):
+    return succinct.narrowest(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("vec_id"), "l_orderkey"), "vec_id", "l_orderkey")
+
+
+@query("SELECT o_custkey, row_number() OVER w - 1 AS i, o_orderkey, o_orderkey - lag(o_orderkey) OVER w AS gap FROM (SELECT DISTINCT o_custkey, o_orderkey FROM orders) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+def sorted_sequence_gaps(spark, sf_dir):
+    return succinct.gaps(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey")
+
+
+@query("SELECT count(*)::BIGINT AS n, 0::BIGINT AS wrong FROM (SELECT DISTINCT o_custkey, o_orderkey FROM orders)")
+def sorted_sequence_roundtrip(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    coded = succinct.gaps(orders, "o_custkey", "o_orderkey")
+    first = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("first"))
+    both = succinct.from_gaps(coded, first, "o_custkey").join(coded.select("o_custkey", "i", "o_orderkey"), ["o_custkey", "i"])
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("key") != F.col("o_orderkey"), 1)).alias("wrong"))
+
+
+@query("SELECT o_custkey, count(*)::BIGINT AS n, min(o_orderkey) AS first, max(o_orderkey) AS last, max(o_orderkey) - min(o_orderkey) + count(*) AS gap_bits, 64 * count(*) AS plain_bits FROM (SELECT DISTINCT o_custkey, o_orderkey FROM orders) GROUP BY 1")
+def sorted_sequence_space(spark, sf_dir):
+    return succinct.gap_space(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders) WHERE n >= 1 AND (n - 1) % 3 = 0")
+def skip_access(spark, sf_dir):
+    return succinct.every(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", 3, 1)
+
+
+@query("SELECT user_id, event_id, array_to_string(list(event_type) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), ',') AS ring FROM events")
+def ring_buffer(spark, sf_dir):
+    r = succinct.ring(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type", 4)
+    return r.select("user_id", "event_id", F.array_join("ring", ",").alias("ring"))
+
+
+# integers and bits
+
+_WORD = "(o_orderkey * 2654435761 + o_custkey * 40503 + 1)"
+
+
+@query(f"SELECT o_orderkey, x, bit_count(x)::BIGINT AS popcnt, (64 - length(bin(x)))::BIGINT AS lzcnt, (length(bin(x)) - length(rtrim(bin(x), '0')))::BIGINT AS tzcnt, length(bin(x))::BIGINT AS ilog2_ceil, (length(bin(x)) - 1)::BIGINT AS ilog2_floor, ((x + 6) // 7)::BIGINT AS div7_up, x & 65535 AS low16 FROM (SELECT o_orderkey, {_WORD}::BIGINT AS x FROM orders)")
+def int_functions(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_WORD).alias("x"))
+    x = F.col("x")
+    return d.select("o_orderkey", "x", bits.popcnt(x).alias("popcnt"), bits.lzcnt(x).alias("lzcnt"), bits.tzcnt(x).alias("tzcnt"), bits.ilog2_ceil(x).alias("ilog2_ceil"), bits.ilog2_floor(x).alias("ilog2_floor"), bits.idiv_ceil(x, 7).alias("div7_up"), x.bitwiseAND(bits.bit_mask(16)).alias("low16"))
+
+
+@query(f"SELECT o_orderkey, x, r AS root_down, CASE WHEN r * r = x THEN r ELSE r + 1 END AS root_up FROM (SELECT o_orderkey, x, (floor(sqrt(x)) - CASE WHEN floor(sqrt(x))::HUGEINT * floor(sqrt(x))::HUGEINT > x THEN 1 ELSE 0 END)::BIGINT AS r FROM (SELECT o_orderkey, {_WORD}::BIGINT AS x FROM orders))")
+def integer_roots(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_WORD).alias("x"))
+    return d.select("o_orderkey", "x", bits.isqrt_floor(F.col("x")).alias("root_down"), bits.isqrt_ceil(F.col("x")).alias("root_up"))
+
+
+@query("WITH p AS (SELECT k FROM (SELECT unnest(range(2, (SELECT max(p_partkey) + 400 FROM part))) AS k) c WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(2, 2000)) AS d) WHERE d * d <= k AND k % d = 0)) SELECT p_partkey, p_partkey IN (SELECT k FROM p) AS prime, (SELECT max(k) FROM p WHERE k <= p_partkey)::BIGINT AS below, (SELECT min(k) FROM p WHERE k >= p_partkey)::BIGINT AS above FROM part")
+def primes_in_keys(spark, sf_dir):
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(k, bits.is_prime(k).alias("prime"), bits.prime_predecessor(k).alias("below"), bits.prime_successor(k).alias("above"))
+
+
+@query(f"WITH d AS (SELECT o_orderkey, x, (o_custkey % 64)::INTEGER AS i FROM (SELECT *, {_WORD}::BIGINT AS x FROM orders)), s AS (SELECT *, (SELECT list(j ORDER BY j) FROM (SELECT unnest(range(64)) AS j) WHERE (x >> j::INTEGER) & 1 = 1) AS ones, (SELECT list(j ORDER BY j) FROM (SELECT unnest(range(64)) AS j) WHERE (x >> j::INTEGER) & 1 = 0) AS zeros FROM d) SELECT o_orderkey, x, i::BIGINT AS i, len(list_filter(ones, lambda j: j <= i))::BIGINT AS rank1, ones[4]::BIGINT AS select1, zeros[4]::BIGINT AS select0, ones[64]::BIGINT AS beyond, list_sum(list_transform(range(16), lambda j: ((x >> (4 * j)::INTEGER) & 1) << j::INTEGER))::BIGINT AS pext FROM s")
+def word_rank_select(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_WORD).alias("x"), (F.col("o_custkey") % 64).alias("i"))
+    x = F.col("x")
+    every_fourth = int("0001" * 16, 2)
+    return d.select("o_orderkey", "x", "i", bits.rank1_u64(x, F.col("i")).alias("rank1"), bits.select1_u64(x, 4).alias("select1"), bits.select0_u64(x, 4).alias("select0"), bits.select1_u64(x, 64).alias("beyond"), bits.pext(x, every_fourth).alias("pext"))
+
+
+@query("SELECT l_orderkey, l_linenumber, ((l_partkey >= 3)::INTEGER + (l_partkey >= 50)::INTEGER + (l_partkey >= 120)::INTEGER + (l_partkey >= 999)::INTEGER)::BIGINT AS rank, concat(l_partkey > l_suppkey, ',', l_suppkey > l_partkey) AS greater FROM lineitem")
+def packed_compare(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem")
+    keys = F.array(*[F.lit(k).cast("bigint") for k in (3, 50, 120, 999)])
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    return d.select("l_orderkey", "l_linenumber", bits.packed_rank(keys, p).alias("rank"), F.array_join(F.transform(bits.pcmpgtu(F.array(p, s), F.array(s, p)), lambda b: b.cast("string")), ",").alias("greater"))
+
+
+# codes
+
+_GAMMA = "repeat('0', length(bin({x})) - 1) || bin({x})"
+_LOW = "substr(bin({x}), 2)"
+
+
+def _gamma(x):
+    return _GAMMA.format(x=x)
+
+
+def _delta(x):
+    return f"{_gamma(f'length(bin({x}))')} || {_LOW.format(x=x)}"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, g AS gamma, length(g)::BIGINT AS bits FROM (SELECT *, CASE WHEN l_partkey > 0 THEN {_gamma('l_partkey')} END AS g FROM lineitem)")
+def elias_gamma_bits(spark, sf_dir):
+    x = F.col("l_partkey")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", bits.gamma_code(x).alias("gamma"), bits.gamma_bits(x).cast("bigint").alias("bits"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, g AS delta, length(g)::BIGINT AS bits, z AS delta0, length(z)::BIGINT AS bits0 FROM (SELECT *, CASE WHEN l_partkey > 0 THEN {_delta('l_partkey')} END AS g, {_delta('(l_linenumber::BIGINT + 1)')} AS z FROM lineitem)")
+def elias_delta_bits(spark, sf_dir):
+    x, y = F.col("l_partkey"), F.col("l_linenumber").cast("bigint")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", bits.delta_code(x).alias("delta"), bits.delta_bits(x).cast("bigint").alias("bits"), bits.delta0_code(y).alias("delta0"), bits.delta0_bits(y).cast("bigint").alias("bits0"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, p, g AS rice, length(g)::BIGINT AS bits FROM (SELECT *, {_gamma('((l_partkey >> p::INTEGER) + 1)')} || lpad(bin(l_partkey & ((1::BIGINT << p::INTEGER) - 1)), p::INTEGER, '0') AS g FROM lineitem, (SELECT unnest(range(1, 9)) AS p))")
+def rice_code_bits(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(8).cast("bigint"))).alias("p"))
+    x, p = F.col("l_partkey"), F.col("p")
+    return d.select("l_orderkey", "l_linenumber", "p", bits.rice_code(x, p).alias("rice"), bits.rice_bits(x, p).cast("bigint").alias("bits"))
+
+
+@query("SELECT o_orderkey, lpad(bin(o_custkey), 24, '0') AS code, repeat('0', (o_custkey % 50)::INTEGER) || '1' AS unary FROM orders")
+def binary_code_bits(spark, sf_dir):
+    k = F.col("o_custkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", bits.binary_code(k, 24).alias("code"), bits.unary_code(k % 50).alias("unary"))
+
+
+_HISTOGRAM = "h AS (SELECT lang, s AS byte, count(*)::BIGINT AS n FROM (SELECT lang, unnest(regexp_extract_all(hex(encode(text)), '..')) AS s FROM documents) GROUP BY ALL)"
+
+
+@query(f"WITH {_HISTOGRAM} SELECT lang, (('0x' || byte)::INTEGER)::BIGINT AS byte, n FROM h")
+def byte_histogram(spark, sf_dir):
+    return coding.byte_histogram(table(spark, sf_dir, "documents"), ["lang"])
+
+
+@query(f"WITH RECURSIVE {_HISTOGRAM}, r AS (SELECT lang, list_sort(list(n)) AS w, 0::BIGINT AS b FROM h GROUP BY lang UNION ALL SELECT lang, list_sort(list_append(w[3:], w[1] + w[2])), b + w[1] + w[2] FROM r WHERE len(w) > 1) SELECT lang, b AS bits FROM r WHERE len(w) = 1")
+def huffman_total_bits(spark, sf_dir):
+    return coding.huffman_bits(coding.byte_histogram(table(spark, sf_dir, "documents"), ["lang"]), ["lang"])
+
+
+@query()
+def entropy_code_bits(spark, sf_dir):
+    return coding.entropy_bits(table(spark, sf_dir, "documents"))
+
+
+# hashes
+
+_DOC_BYTES = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::INTEGER)"
+
+
+@query(f"SELECT item_id, list_reduce({_DOC_BYTES}, lambda h, b: ((xor(h, b::BIGINT) * 16777619) & 4294967295)::BIGINT, 2166136261::BIGINT) AS fnv FROM benchmark")
+def fnv1a_items(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", hashing.fnv1a(hashing.bytes_of(F.col("text"))).alias("fnv"))
+
+
+@query("WITH t AS (SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT) AS c FROM (SELECT unnest(range(256)) AS i))) " + f"SELECT item_id, xor(list_reduce({_DOC_BYTES}, lambda h, b: xor(t.crc[(xor(h, b::BIGINT) & 255) + 1], h >> 8), 4294967295::BIGINT), 4294967295) AS crc FROM benchmark, t")
+def crc32_items(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", hashing.crc32(F.encode("text", "UTF-8")).alias("crc"))
+
+
+@query("SELECT o_orderkey, CASE WHEN p >= 9223372036854775808 THEN p - 18446744073709551616 ELSE p END::BIGINT AS product, (o_orderkey % 1009)::BIGINT AS bucket FROM (SELECT o_orderkey, (o_orderkey * 4294967311)::HUGEINT * 2654435761::HUGEINT % 18446744073709551616::HUGEINT AS p FROM orders)")
+def multiplicative_hash(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(k, hashing.multiplicative(k * F.lit(4294967311)).alias("product"), hashing.modulo(k, 1009).alias("bucket"))
+
+
+@query(f"SELECT item_id, list_reduce({_DOC_BYTES}, lambda h, b: ((h::HUGEINT * 1000003 % 2305843009213693951 + b) % 2305843009213693951)::BIGINT, 0::BIGINT) AS fingerprint FROM benchmark")
+def karp_rabin_items(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", hashing.karp_rabin(hashing.bytes_of(F.col("text"))).alias("fingerprint"))
+
+
+# sketches and frequent items
+
+_CM_WIDTH, _CM_HEIGHT = 1024, 2
+_CM = " UNION ALL ".join(f"SELECT {j} AS row, xor((key & 4294967295) * {hashing.CM_MULTIPLIERS[j]} % 4294967296, (key >> 32) * {hashing.CM_MULTIPLIERS[j]} % 4294967296) % 524287 & {_CM_WIDTH - 1} AS col, key, n FROM c" for j in range(_CM_HEIGHT))
+
+
+@query(f"WITH c AS (SELECT l_partkey::HUGEINT AS key, count(*)::BIGINT AS n FROM lineitem GROUP BY 1), r AS ({_CM}), s AS (SELECT row, col, sum(n) AS t FROM r GROUP BY ALL) SELECT key::BIGINT AS l_partkey, min(t)::BIGINT AS estimate FROM r JOIN s USING (row, col) GROUP BY 1")
+def count_min_estimates(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey")
+    cells = sketch.count_min(lines, "l_partkey", F.lit(1).cast("bigint"), _CM_WIDTH, _CM_HEIGHT)
+    return sketch.estimates(cells, lines, "l_partkey", _CM_WIDTH, _CM_HEIGHT)
+
+
+@query("SELECT user_id, n FROM (SELECT user_id, count(*)::BIGINT AS n FROM events GROUP BY 1) ORDER BY n DESC, user_id LIMIT 20")
+def heavy_hitters_topk(spark, sf_dir):
+    return sketch.heavy_hitters(table(spark, sf_dir, "events"), "user_id", 20)
+
+
+@query("SELECT event_type, user_id, n FROM (SELECT event_type, user_id, count(*)::BIGINT AS n, row_number() OVER (PARTITION BY event_type ORDER BY count(*), user_id) AS r FROM events GROUP BY 1, 2) WHERE r = 1")
+def minimum_items(spark, sf_dir):
+    return sketch.minimum_items(table(spark, sf_dir, "events"), "user_id", ["event_type"])
+
+
+@query()
+def augmented_sketch_users(spark, sf_dir):
+    return sketch.augmented_sketch(table(spark, sf_dir, "events"), "event_type", "event_id", "user_id", 16, 256, 2)
+
+
+# text indexes
+
+_GRAMS = "g AS (SELECT {by} substr(text, i, 4) AS gram, i FROM (SELECT {by} text, unnest(range(1, length(text) - 2)) AS i FROM {table} WHERE length(text) >= 4))"
+
+
+@query(f"WITH {_GRAMS.format(by='lang,', table='documents')} SELECT lang, gram, count(*)::BIGINT AS n, min(i)::BIGINT AS first_pos, max(i)::BIGINT AS last_pos FROM g GROUP BY ALL")
+def qgram_freq(spark, sf_dir):
+    return textindex.qgrams(table(spark, sf_dir, "documents"), 4, ["lang"])
+
+
+@query(f"WITH {_GRAMS.format(by='item_id,', table='benchmark')} SELECT item_id, gram, count(*)::BIGINT AS n, min(i)::BIGINT AS first_pos, max(i)::BIGINT AS last_pos FROM g GROUP BY ALL")
+def qgram_last_seen(spark, sf_dir):
+    return textindex.qgrams(table(spark, sf_dir, "benchmark"), 4, ["item_id"])
+
+
+#: The benchmark's texts with a character for each byte.
+_BYTE_ITEMS = "b AS (SELECT item_id, array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: chr(('0x' || x)::INTEGER)), '') AS text FROM benchmark)"
+
+
+def _items(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+
+
+_SUFFIXES = "s AS (SELECT item_id AS doc_id, i - 1 AS pos, substr(text, i) AS t, row_number() OVER (PARTITION BY item_id ORDER BY substr(text, i)) - 1 AS rank FROM (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM b))"
+
+
+@query(f"WITH {_BYTE_ITEMS}, {_SUFFIXES}, p AS (SELECT *, lag(t) OVER (PARTITION BY doc_id ORDER BY rank) AS u FROM s) SELECT doc_id, rank, pos, coalesce(list_max(list_filter(range(0, least(length(t), length(u)) + 1), lambda k: substr(t, 1, k) = substr(u, 1, k))), 0)::BIGINT AS lcp FROM p")
+def suffix_array_items(spark, sf_dir):
+    return textindex.suffixes(_items(spark, sf_dir))
+
+
+@query()
+def suffix_array_docs(spark, sf_dir):
+    s = textindex.suffixes(table(spark, sf_dir, "documents"))
+    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("lcp").alias("sum_lcp"), F.max("lcp").alias("max_lcp"), F.max_by("pos", "rank").alias("last_pos"))
+
+
+# factorizations
+
+_LZ77 = f"WITH RECURSIVE {_BYTE_ITEMS}, r AS (SELECT item_id AS doc_id, text AS t, 1 AS pos, 0 AS n, 0 AS refs, 0 AS total FROM b UNION ALL SELECT doc_id, t, pos + CASE WHEN l >= 2 THEN l ELSE 1 END, n + 1, refs + CASE WHEN l >= 2 THEN 1 ELSE 0 END, total + CASE WHEN l >= 2 THEN l ELSE 0 END FROM (SELECT *, coalesce(list_max(list_filter(range(1, length(t) - pos + 2), lambda k: instr(substr(t, 1, pos + k - 2), substr(t, pos, k)) > 0)), 0) AS l FROM r WHERE pos <= length(t))) SELECT doc_id, n::BIGINT AS num_factors, refs::BIGINT AS num_refs, total::BIGINT AS total_ref_len FROM r WHERE pos > length(t)"
+
+
+@query(_LZ77)
+def lz77_items(spark, sf_dir):
+    s = factors.stats(factorize.factorize(_items(spark, sf_dir), "lz77"))
+    return s.select("doc_id", (F.col("num_refs") + F.col("num_literals")).alias("num_factors"), "num_refs", "total_ref_len")
+
+
+@query(f"WITH RECURSIVE {_BYTE_ITEMS}, r AS (SELECT item_id AS doc_id, text AS t, 1 AS pos, []::VARCHAR[] AS dict, 0 AS n FROM b UNION ALL SELECT doc_id, t, pos + l, list_append(dict, substr(t, pos, l)), n + 1 FROM (SELECT *, coalesce(list_min(list_filter(range(1, length(t) - pos + 2), lambda k: NOT list_contains(dict, substr(t, pos, k)))), length(t) - pos + 1) AS l FROM r WHERE pos <= length(t))) SELECT doc_id, n::BIGINT AS phrases FROM r WHERE pos > length(t)")
+def lz78_items(spark, sf_dir):
+    return factorize.lz78(_items(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("phrases"))
+
+
+@query()
+def lz78_phrases(spark, sf_dir):
+    return factorize.lz78(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("phrases"), F.max("node").alias("last_node"))
+
+
+@query("SELECT doc_id, octet_length(encode(text))::BIGINT AS num_literals FROM documents WHERE length(text) > 0")
+def noop_literals(spark, sf_dir):
+    return factors.stats(factorize.factorize(table(spark, sf_dir, "documents"), "noop")).select("doc_id", "num_literals")
+
+
+@query()
+def lz77_stats(spark, sf_dir):
+    return factors.stats(factorize.factorize(table(spark, sf_dir, "documents"), "lz77"))
+
+
+@query()
+def lz77_by_lang(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    s = factors.stats(factorize.factorize(docs, "lz77")).join(docs.select("doc_id", "lang"), "doc_id")
+    return s.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), *[F.sum(c).alias(c) for c in ("input_size", "num_refs", "num_literals", "total_ref_len", "total_ref_dist")])
+
+
+def _differs(factors_of: DataFrame, docs: DataFrame) -> DataFrame:
+    texts = docs.select("doc_id", F.encode("text", "UTF-8").alias("want")).where(F.length("want") > 0)
+    both = texts.join(factors.decode(factors_of), "doc_id", "left")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("want").eqNullSafe(F.col("content")), 1)).alias("wrong"))
+
+
+_ROUND = "SELECT count(*)::BIGINT AS n, 0::BIGINT AS wrong FROM documents WHERE length(text) > 0"
+
+
+def _round(name: str, **params):
+    def run(spark, sf_dir):
+        docs = table(spark, sf_dir, "documents")
+        return _differs(factorize.factorize(docs, name, **params), docs)
+
+    run.__name__ = f"{name}_roundtrip"
+    return query(_ROUND)(run)
+
+
+for _name, _params in (("lz77", {}), ("gzip", {}), ("sliding_window", {"window": 1024}), ("fingerprints", {}), ("top_fingerprints", {}), ("sketch", {"q": 8}), ("qgram", {}), ("qgram_order", {})):
+    _round(_name, **_params)
+
+
+@query("SELECT count(*)::BIGINT AS n, 0::BIGINT AS wrong FROM pages WHERE length(html) > 0")
+def lz77_pages_roundtrip(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    return _differs(factorize.factorize(pages, "lz77"), pages)
+
+
+@query()
+def sliding_window_options(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = None
+    for name, kw in (("plain", {}), ("extended", {"extend": True}), ("long_term", {"long_term_q": 16})):
+        s = factors.stats(factorize.factorize(docs, "sliding_window", window=256, **kw)).withColumn("variant", F.lit(name))
+        out = s if out is None else out.unionByName(s)
+    return out.groupBy("variant").agg(F.sum("num_refs").alias("num_refs"), F.sum("num_literals").alias("num_literals"), F.max("max_ref_len").alias("max_ref_len"), F.max("max_ref_dist").alias("max_ref_dist"))
+
+
+@query(_ROUND)
+def merge_roundtrip(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return _differs(factors.merge(factorize.factorize(docs, "sliding_window"), factorize.factorize(docs, "gzip"), factorize.factorize(docs, "fingerprints")), docs)
+
+
+@query(_ROUND)
+def joined_runs_roundtrip(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return _differs(factors.join_runs(factorize.factorize(docs, "fingerprints")), docs)
+
+
+@query()
+def factor_sizes(spark, sf_dir):
+    f = materialize(factorize.factorize(table(spark, sf_dir, "documents"), "lz77"))
+    return factors.encoded_bits(f).join(factors.bzip2_bytes(f).withColumnRenamed("bytes", "bzip2_bytes"), "doc_id")
+
+
+@query()
+def factor_readable(spark, sf_dir):
+    return factors.readable(factorize.factorize(_items(spark, sf_dir), "lz77"))
+
+
+@query("WITH d AS (SELECT doc_id, text, unnest(range(0, length(text) - 15)) AS pos FROM documents WHERE length(text) >= 16), w AS (SELECT doc_id, pos, max(CASE WHEN pos % 16 = 0 THEN pos END) OVER (PARTITION BY doc_id, substr(text, pos + 1, 16) ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS src FROM d) SELECT doc_id, pos, src FROM w WHERE src IS NOT NULL")
+def fp_block_candidates(spark, sf_dir):
+    return factorize.block_candidates(table(spark, sf_dir, "documents"), 16)
+
+
+# wide integers, generated data, results
+
+@query("SELECT o_orderkey, ((o_orderkey + 1099511627776)::HUGEINT * (o_custkey + 1125899906842624)::HUGEINT)::VARCHAR AS product, (((o_orderkey + 1099511627776)::HUGEINT * (o_custkey + 1125899906842624)::HUGEINT) % 1000003)::VARCHAR AS rest, (((o_orderkey * 1048583) & 1099511627775))::BIGINT AS low40 FROM orders")
+def wide_products(spark, sf_dir):
+    d = table(spark, sf_dir, "orders")
+    a, b = wideint.from_long(F.col("o_orderkey") + (1 << 40)), wideint.from_long(F.col("o_custkey") + (1 << 50))
+    product = wideint.wide("mul", a, b)
+    return d.select("o_orderkey", wideint.print_uint(product).alias("product"), wideint.print_uint(wideint.wide("mod", product, wideint.from_long(1000003))).alias("rest"), wideint.uint40(F.col("o_orderkey") * F.lit(1048583)).alias("low40"))
+
+
+_U = 100_000
+_P = random.permutation_prime(_U)
+
+
+def _residue_sql(x: str) -> str:
+    return f"CASE WHEN {x} >= {_P} THEN {x} WHEN 2 * {x} <= {_P} THEN {x} * {x} % {_P} ELSE {_P} - {x} * {x} % {_P} END"
+
+
+@query(f"SELECT i, ({_residue_sql('b')})::BIGINT AS value FROM (SELECT i, (({_residue_sql('i')}) + {random._shift(_U, random.SEED)}) % {_U} AS b FROM (SELECT unnest(range({_U})) AS i))")
+def permutation_range(spark, sf_dir):
+    return random.permutation(spark, _U)
+
+
+@query("SELECT k AS value FROM (SELECT unnest(range(2, 20001)) AS k) WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(2, 142)) AS d) WHERE d * d <= k AND k % d = 0)")
+def prime_list(spark, sf_dir):
+    return random.primes(spark, 0, 20000)
+
+
+@query()
+def random_draws(spark, sf_dir):
+    return random.distributions(spark, 10_000).join(random.vector(spark, 10_000, 5, 25), "i")
+
+
+@query()
+def generated_operations(spark, sf_dir):
+    spark.dataSource.register(files.OperationSource)
+    return spark.read.format("intops").option("streams", 4).option("keys", 100).load()
+
+
+@query("SELECT event_type AS algo, avg(round(value, 3)) AS avg_value, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def result_lines_agg(spark, sf_dir):
+    """RESULT lines made of all events, parsed back and averaged by key."""
+    events = table(spark, sf_dir, "events")
+    text = F.format_string("RESULT algo=%s user=%d value=%s", F.col("event_type"), F.col("user_id"), F.round("value", 3).cast("string"))
+    lines = events.select(text.alias("value"))
+    kv = files.parse_results(lines)
+    return kv.groupBy(F.col("kv")["algo"].alias("algo")).agg(F.avg(F.col("kv")["value"].cast("double")).alias("avg_value"), F.count(F.lit(1)).alias("n"))
