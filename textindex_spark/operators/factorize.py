@@ -353,10 +353,9 @@ def block_candidates(docs: DataFrame, size: int) -> DataFrame:
     The relational half of the fingerprint parser: blocks and windows meet by equality of document and characters. Per
     document and window text only the blocks' places are kept, so a repeated window does not multiply.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    fits = F.length(text) >= size
-    none = F.array().cast("array<int>")
-    windows = docs.select("doc_id", F.explode(F.when(fits, F.transform(F.sequence(F.lit(0), F.length(text) - size), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.substr(text, i + 1, F.lit(size))).alias("h"), F.substr(text, i + 1, F.lit(size)).alias("s")))).otherwise(F.transform(none, lambda i: F.struct(i.alias("pos"), F.lit(0).cast("bigint").alias("h"), F.lit("").alias("s"))))).alias("w")).select("doc_id", "w.*")
+    from .textindex import gram_rows
+
+    windows = gram_rows(docs, size, ["doc_id"]).select("doc_id", (F.col("pos") - 1).alias("pos"), F.xxhash64("gram").alias("h"), F.col("gram").alias("s"))
     from pyspark.sql import Window
 
     # one ordered pass over the equal windows of a document: the last aligned place before each

@@ -74,9 +74,18 @@ def suffixes(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_suffixes, "doc_id long, rank long, pos long, lcp long")
 
 
+def gram_rows(docs: DataFrame, q: int, by: list[str]) -> DataFrame:
+    """(by, pos, gram): every q-gram of code points; positions from 1.
+
+    A text is cut into its characters once, so a gram costs q steps wherever it stands.
+    """
+    chars = docs.select(*by, F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), ""), lambda c: c != "").alias("_c"))
+    places = F.when(F.size("_c") >= q, F.sequence(F.lit(1), F.size("_c") - (q - 1))).otherwise(F.array().cast("array<int>"))
+    grams = F.transform(places, lambda i: F.struct(i.alias("pos"), F.concat(*[F.element_at("_c", i + k) for k in range(q)]).alias("gram")))
+    return chars.select(*by, F.explode(grams).alias("g")).select(*by, "g.pos", "g.gram")
+
+
 def qgrams(docs: DataFrame, q: int, by: list[str] = ()) -> DataFrame:
     """(by, gram, n, first_pos, last_pos): q-grams of code points with how often and where they occur; positions from 1."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    places = F.when(F.length(text) >= q, F.sequence(F.lit(1), F.length(text) - (q - 1))).otherwise(F.array().cast("array<int>"))
-    rows = docs.select(*by, F.explode(F.transform(places, lambda i: F.struct(i.alias("pos"), F.substr(text, i, F.lit(q)).alias("gram")))).alias("g"))
-    return rows.groupBy(*by, F.col("g.gram").alias("gram")).agg(F.count(F.lit(1)).alias("n"), F.min("g.pos").cast("bigint").alias("first_pos"), F.max("g.pos").cast("bigint").alias("last_pos"))
+    rows = gram_rows(docs, q, list(by))
+    return rows.groupBy(*by, "gram").agg(F.count(F.lit(1)).alias("n"), F.min("pos").cast("bigint").alias("first_pos"), F.max("pos").cast("bigint").alias("last_pos"))

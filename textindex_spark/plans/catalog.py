@@ -517,7 +517,7 @@ def factor_readable(spark, sf_dir):
     return factors.readable(factorize.factorize(_items(spark, sf_dir), "lz77"))
 
 
-@query("WITH d AS (SELECT doc_id, text, unnest(range(0, length(text) - 15)) AS pos FROM documents WHERE length(text) >= 16), w AS (SELECT doc_id, pos, max(CASE WHEN pos % 16 = 0 THEN pos END) OVER (PARTITION BY doc_id, substr(text, pos + 1, 16) ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS src FROM d) SELECT doc_id, pos, src FROM w WHERE src IS NOT NULL")
+@query("WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(length(text))) AS pos, length(text) AS n FROM documents WHERE length(text) >= 16), d AS (SELECT doc_id, pos, n, string_agg(c, '') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS g FROM c), w AS (SELECT doc_id, pos, max(CASE WHEN pos % 16 = 0 THEN pos END) OVER (PARTITION BY doc_id, g ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS src FROM d WHERE pos + 16 <= n) SELECT doc_id, pos, src FROM w WHERE src IS NOT NULL")
 def fp_block_candidates(spark, sf_dir):
     return factorize.block_candidates(table(spark, sf_dir, "documents"), 16)
 
