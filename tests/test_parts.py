@@ -203,3 +203,14 @@ def test_stream_replay(spark, tmp_path):
     stream = spark.readStream.schema("op_seq long, opcode string, key long").parquet(str(tmp_path / "in"))
     got = answers(run_available(stream, "replayed", str(tmp_path / "state"), shift=3))
     assert {r.op_seq: r.pred for r in got.collect()} == {2: 5, 4: None, 5: 9}
+
+
+def test_table_functions(spark):
+    from textindex_spark.plans.sql import register
+
+    assert "lz77" in register(spark)
+    spark.createDataFrame([(1, "abab"), (2, ""), (3, None)], "doc_id long, text string").createOrReplaceTempView("some_docs")
+    got = spark.sql("SELECT d.doc_id, f.* FROM some_docs d, LATERAL lz77(d.text) f ORDER BY doc_id, seq").collect()
+    assert [tuple(r) for r in got] == [(1, 0, 0, None, 0, 97), (1, 1, 1, None, 0, 98), (1, 2, 2, 0, 2, None)]
+    got = spark.sql("SELECT f.* FROM some_docs d, LATERAL lz78(d.text) f WHERE doc_id = 1 ORDER BY seq").collect()
+    assert [tuple(r) for r in got] == [(0, 0, 97), (1, 0, 98), (2, 1, 98)]
