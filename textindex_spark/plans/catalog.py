@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import bits, hashing, wideint
 from ..operators import coding, dynamic, factorize, factors, predecessor, sketch, succinct, textindex
 from ..sources import files, random
-from .durable import materialize
+from .durable import materialize, spread
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -29,7 +29,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def micros(column: str):

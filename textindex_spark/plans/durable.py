@@ -24,3 +24,12 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{root.rstrip('/')}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: a small file is one partition, and folds follow partitions.
+
+    Inputs that already have as many, so all large ones, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
