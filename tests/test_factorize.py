@@ -59,23 +59,6 @@ def test_known_parses():
     assert factorize.lz77(b"") == [] and factorize.lz77(b"a") == [(97, 0)]
 
 
-def unpack_adaptive(bits, n):
-    tree, out, p = coding.Adaptive(), bytearray(), 0
-    for _ in range(n):
-        node = 0
-        while tree.children[node]:
-            node = tree.children[node][int(bits[p])]
-            p += 1
-        s = tree.symbol[node]
-        if s is None:
-            s = int(bits[p : p + 8], 2)
-            p += 8
-        out.append(s)
-        tree.encode(s)
-    assert p == len(bits)
-    return bytes(out)
-
-
 @settings(max_examples=100, deadline=None)
 @given(TEXTS)
 def test_codes_round_trip(t):
@@ -83,10 +66,22 @@ def test_codes_round_trip(t):
     assert coding.huffman_decode(weights, bits) == t
     assert len(bits) == sum(n * k for n, k in zip(weights.values(), coding.code_lengths(list(weights.values()))))
     tree = coding.Adaptive()
-    assert unpack_adaptive("".join(map(tree.encode, t)), len(t)) == t
+    bits, other, at, out = "".join(map(tree.encode, t)), coding.Adaptive(), 0, []
+    for _ in t:
+        symbol, at = other.decode(bits, at)
+        out.append(symbol)
+    assert bytes(out) == t and at == len(bits)
     assert all(a >= b for a, b in zip(tree.weight, tree.weight[1:]))
 
 
 def test_forward_code_ends_free():
     assert coding.forward_bits(b"aaaa") == 0
     assert coding.forward_bits(b"ab") == 1  # once a is used up, b costs nothing
+
+
+@settings(max_examples=100, deadline=None)
+@given(TEXTS)
+def test_containers_round_trip(t):
+    f = factorize.lz77(t)
+    bits = coding.write_factors(f)
+    assert coding.read_factors(coding.from_bytes(coding.to_bytes(bits), len(bits))) == f

@@ -214,3 +214,15 @@ def test_table_functions(spark):
     assert [tuple(r) for r in got] == [(1, 0, 0, None, 0, 97), (1, 1, 1, None, 0, 98), (1, 2, 2, 0, 2, None)]
     got = spark.sql("SELECT f.* FROM some_docs d, LATERAL lz78(d.text) f WHERE doc_id = 1 ORDER BY seq").collect()
     assert [tuple(r) for r in got] == [(0, 0, 97), (1, 0, 98), (2, 1, 98)]
+
+
+def test_tee_and_order(spark):
+    from textindex_spark.operators import factorize, factors
+
+    docs = spark.createDataFrame([(1, "abababab")], "doc_id long, text string")
+    stats, text = factors.tee(factorize.factorize(docs), factors.stats, factors.decode)
+    assert stats.first().num_refs == 1 and bytes(text.first().content) == b"abababab"
+    rows = spark.createDataFrame([(1, 0, 5), (1, 1, 5), (1, 2, 9)], "v long, i long, k long")
+    assert succinct.assert_ascending(rows, "v", "i", "k").count() == 3
+    with pytest.raises(Exception, match="ascending"):
+        succinct.assert_ascending(rows.withColumn("k", -F.col("k")), "v", "i", "k").collect()

@@ -204,3 +204,37 @@ def pack_bits(code: Column) -> Column:
     hexes = F.array_join(digits, "")
     even = F.rpad(hexes, (F.ceil(F.length(hexes) / 2) * 2).cast("int"), F.lit("0"))
     return F.when(F.length(code) > 0, F.unhex(even)).otherwise(F.lit(b""))
+
+
+def _number(digits: Column) -> Column:
+    return F.when(digits == "", F.lit(0)).otherwise(F.conv(digits, 2, 10)).cast("bigint")
+
+
+def _zeros(code: Column) -> Column:
+    return F.instr(code, "1") - 1
+
+
+def unary_value(code: Column) -> Column:
+    """The number of a unary code; NULL if the string is none."""
+    return F.when(code.rlike("^0*1$"), _zeros(code)).cast("bigint")
+
+
+def gamma_value(code: Column) -> Column:
+    return F.when(F.length(code) == 2 * _zeros(code) + 1, _number(code))
+
+
+def delta_value(code: Column) -> Column:
+    z = _zeros(code)
+    b = _number(F.substr(code, F.lit(1), 2 * z + 1)) - 1
+    low = F.substr(code, 2 * z + 2)
+    return F.when((z >= 0) & (F.length(low) == b), _shl(1, b) + _number(low))
+
+
+def rice_value(code: Column, p: int) -> Column:
+    z = _zeros(code)
+    low = F.substr(code, 2 * z + 2)
+    return F.when((z >= 0) & (F.length(low) == p), _shl(_number(F.substr(code, F.lit(1), 2 * z + 1)) - 1, p) + _number(low))
+
+
+def binary_value(code: Column) -> Column:
+    return _number(code)

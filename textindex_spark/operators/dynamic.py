@@ -96,3 +96,9 @@ def extremes_over_time(ops: DataFrame, seq: str = "op_seq") -> DataFrame:
     after = sizes.withColumn("at", F.col("op_seq") + F.lit(0.5)).withColumn("low", F.lit(-(1 << 62))).withColumn("high", F.lit(1 << 62))
     low = nearest(after, spans, "low", "at", below=False).withColumnRenamed("answer", "min_key")
     return nearest(low, spans, "high", "at", below=True).select("op_seq", "size", "min_key", F.col("answer").alias("max_key"))
+
+
+def contained(queries: DataFrame, spans: DataFrame, x: str, seq: str) -> DataFrame:
+    """The queries whose key is live at their sequence number."""
+    live = (F.col("ins") < F.col(seq)) & (F.coalesce("del", F.lit(1 << 62)) > F.col(seq))
+    return queries.join(spans, (F.col(x) == F.col("key")) & live, "left_semi")

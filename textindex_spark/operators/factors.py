@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bits import delta_bits, rice_bits
+from ..plans.durable import materialize
+from .coding import to_bytes, write_factors
 from .factorize import FACTORS
 
 
@@ -161,3 +163,20 @@ def bzip2_bytes(factors: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": [doc_id], "bytes": [len(bz2.compress(lits + triples))]})
 
     return _by_document(factors, ["doc_id", "seq", "pos", "src", "len", "literal"]).mapInPandas(run, "doc_id long, bytes long")
+
+
+def containers(factors: DataFrame) -> DataFrame:
+    """(doc_id, bits, n_bits): each document's factors in one bit container, which coding.read_factors reads."""
+
+    def run(batches):
+        for doc_id, rows in _documents(batches):
+            code = write_factors([(int(c), 0) if n == 0 else (int(s), int(n)) for s, n, c in zip(rows["src"], rows["len"], rows["literal"])])
+            yield pd.DataFrame({"doc_id": [doc_id], "bits": [to_bytes(code)], "n_bits": [len(code)]})
+
+    return _by_document(factors, ["doc_id", "seq", "src", "len", "literal"]).mapInPandas(run, "doc_id long, bits binary, n_bits long")
+
+
+def tee(factors: DataFrame, *sinks) -> list:
+    """What several sinks make of one factor stream, which is computed once."""
+    stored = materialize(factors)
+    return [sink(stored) for sink in sinks]

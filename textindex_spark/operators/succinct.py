@@ -105,3 +105,10 @@ def ring(rows: DataFrame, by: str, order: str, value: str, size: int) -> DataFra
     """rows with `ring`: the last `size` values up to each row, oldest first."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(-(size - 1), 0)
     return rows.withColumn("ring", F.collect_list(value).over(w))
+
+
+def assert_ascending(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """rows, whose computation fails where a sequence's values fall."""
+    w = Window.partitionBy(by).orderBy(order)
+    risen = F.coalesce(F.lag(value).over(w) <= F.col(value), F.lit(True))
+    return rows.withColumn("_up", risen).where(F.assert_true(F.col("_up"), F.lit("values are not ascending")).isNull()).drop("_up")

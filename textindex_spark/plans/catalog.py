@@ -513,6 +513,27 @@ def factor_sizes(spark, sf_dir):
     return factors.encoded_bits(f).join(factors.bzip2_bytes(f).withColumnRenamed("bytes", "bzip2_bytes"), "doc_id")
 
 
+@query()
+def factor_containers(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return factors.containers(factorize.factorize(docs, "lz77")).select("doc_id", "n_bits", F.length("bits").cast("bigint").alias("n_bytes"))
+
+
+@query(f"WITH {_OPS} SELECT op_seq, q.key AS x FROM (SELECT * FROM ops WHERE opcode = 'Q') q WHERE EXISTS (SELECT 1 FROM iv WHERE iv.key = q.key AND iv.ins < q.op_seq AND coalesce(iv.del, 1::BIGINT << 60) > q.op_seq)")
+def dyn_contains(spark, sf_dir):
+    ops = operations(spark, sf_dir)
+    return dynamic.contained(ops.where("opcode = 'Q'").select("op_seq", F.col("key").alias("x")), dynamic.intervals(ops), "x", "op_seq")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey + 1 AS x, l_partkey + 1 AS gamma, l_partkey + 1 AS delta, l_partkey + 1 AS rice, l_partkey + 1 AS plain, (l_partkey % 50)::BIGINT AS unary FROM lineitem")
+def codes_roundtrip(spark, sf_dir):
+    x, small = F.col("l_partkey") + 1, F.col("l_partkey") % 50
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", x.alias("x"), bits.gamma_value(bits.gamma_code(x)).alias("gamma"), bits.delta_value(bits.delta_code(x)).alias("delta"),
+        bits.rice_value(bits.rice_code(x, 5), 5).alias("rice"), bits.binary_value(bits.binary_code(x, 40)).alias("plain"), bits.unary_value(bits.unary_code(small)).alias("unary"),
+    )
+
+
 @query()
 def factor_readable(spark, sf_dir):
     return factors.readable(factorize.factorize(_items(spark, sf_dir), "lz77"))
