@@ -178,9 +178,11 @@ def train(negatives: list[str]) -> Model:
 def fit(docs: DataFrame, negatives: int = NEGATIVES) -> Model:
     """Train with paragraphs of the corpus as ordinary text: one paragraph of each of at most `negatives` documents."""
     line = F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 20)
-    some = docs.select("doc_id", "text").where("text is not null").orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(negatives)
-    rows = some.select(F.get(line, F.pmod(F.xxhash64("doc_id"), F.greatest(F.size(line), F.lit(1))).cast("int")).alias("p")).where("p is not null").select(F.substring("p", 1, 4000).alias("p"))
-    return train([r["p"] for r in rows.collect()])
+    # ids are chosen first and joined back, so texts that are not chosen go nowhere
+    ids = docs.where("text is not null and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(negatives)
+    some = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    rows = some.select("doc_id", F.get(line, F.pmod(F.xxhash64("doc_id"), F.greatest(F.size(line), F.lit(1))).cast("int")).alias("p")).where("p is not null")
+    return train([r["p"] for r in rows.select("doc_id", F.substring("p", 1, 4000).alias("p")).orderBy("doc_id").collect()])
 
 
 def _scanned(shared):
