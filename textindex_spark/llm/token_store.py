@@ -22,8 +22,8 @@ are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,13 @@ CACHE_PIECES = 1_000_000
 #: Characters that are neither letter, digit nor blank and begin no contraction: after a letter they start a token.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
+#: Latin, Greek and Cyrillic end here.
+PLAIN_UNTIL = "\u0530"
+
+#: How byte-level vocabularies write bytes: printable ones of Latin-1 as themselves, the others from U+0100 on.
+BYTES = {b: b for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+BYTES |= {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(BYTES)))}
+
 #: For every control byte, the lengths of its four codes.
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], dtype=np.uint8)
 
@@ -70,77 +77,116 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of texts as little-endian 16- or 32-bit numbers, through a memory of pieces."""
+    """Ids of texts as little-endian 16- or 32-bit numbers, through a memory of words.
+
+    `after` holds the ids of words with a blank before them, `first` of those without.
+    """
 
     def __init__(self, path: str, capacity: int = CACHE_PIECES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.capacity, self.known = capacity, {}
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.width = array(self.code).itemsize
+        self.capacity = capacity
+        self.after: dict[str, bytes | None] = {}
+        self.first: dict[str, bytes | None] = {}
+        self.feed = self._raw(["\n"])[0]
+        # a word of letters is one token of the byte-level pre-tokenizer, so the library's model can take it as it is
+        self.model = self.tokenizer.model if type(self.tokenizer.model).__name__ == "BPE" and self.tokenizer.normalizer is None else None
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """The text in pieces at each of which the pre-tokenizer starts anew, or None."""
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words that may begin with a blank."""
+        if self.model is None:
+            return self._raw(words)
+        out: list[bytes | None] = []
+        other: list[int] = []
+        for k, w in enumerate(words):
+            # letters of alphabets that all libraries class alike
+            if (w[1:] if w[0] == " " else w).isalpha() and max(w) < PLAIN_UNTIL:
+                out.append(array(self.code, [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(BYTES))]).tobytes())
+            else:
+                other.append(k)
+                out.append(None)
+        for k, raw in zip(other, self._raw([words[k] for k in other])):
+            out[k] = raw
+        return out
+
+    def _lines(self, text: str) -> list[tuple[str, list[str]]] | None:
+        """The first and the other words of each line, or None where a line feed does not stand alone between characters."""
         lines = text.split("\n")
-        out: list[str] = []
         for k, line in enumerate(lines):
-            # a line feed stands alone only between characters that are not blanks
             if not line or (k and line[0].isspace()) or (k + 1 < len(lines) and line[-1].isspace()):
                 return None
-            first, *rest = line.split(" ")
-            if k:
-                out.append("\n")
-            out.append(first)
-            out += map(" ".__add__, rest)
-        return out
+        return [(w[0], w[1:]) for w in [line.split(" ") for line in lines]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        split = [self._pieces(t) for t in texts]
-        known = self.known
-        if len(known) > self.capacity:
-            known.clear()
-        self._learn(set(chain.from_iterable(filter(None, split))).difference(known))
+        after, first = self.after, self.first
+        for known in (after, first):
+            if len(known) > self.capacity:  # short words recur most
+                kept = {w: ids for w, ids in known.items() if len(w) <= 5}
+                known.clear()
+                known.update(kept if len(kept) < self.capacity // 2 else {})
+        split = [self._lines(t) for t in texts]
+        starts, rest = set(), set()
+        for lines in split:
+            for head, tail in lines or ():
+                starts.add(head)
+                rest.update(tail)
+        self._learn(rest.difference(after), after, " ")
+        self._learn(starts.difference(first), first, "")
         out: list[bytes | None] = []
         whole: list[int] = []
-        for k, pieces in enumerate(split):
+        for k, lines in enumerate(split):
             try:
-                out.append(b"".join(map(known.__getitem__, pieces)))
-            except TypeError:  # the text, or a piece of it, has no boundaries of its own
+                out.append(self.feed.join([first[head] + b"".join(map(after.__getitem__, tail)) for head, tail in lines]))
+            except TypeError:  # the text, or a word of it, has no boundaries of its own
                 out.append(None)
                 whole.append(k)
         for k, raw in zip(whole, self._raw([texts[k] for k in whole])):
             out[k] = raw
         return out
 
-    def _learn(self, missing: set[str]) -> None:
-        known = self.known
+    def _learn(self, missing: set[str], known: dict, blank: str) -> None:
         parts = {}
-        for p in missing:
-            # a lone blank, or one followed by another, belongs to what stands beside it
-            if not p or p[0] == " " and (len(p) == 1 or p[1].isspace()):
-                known[p] = b"" if not p else None
+        for w in missing:
+            # a blank alone, or before another, belongs to what stands beside it
+            if not w or (blank and w[0].isspace()):
+                known[w] = b"" if not blank else None
                 continue
-            stem = p.rstrip(MARKS)
-            parts[p] = (stem, p[len(stem) :]) if len(stem) < len(p) and stem[-1:].isalpha() else (p,)
-        new = [x for x in set(chain.from_iterable(parts.values())) if x not in known]
-        known.update(zip(new, self._raw(new)))
-        known.update((p, known[x[0]] + known[x[1]]) for p, x in parts.items() if len(x) == 2)
+            stem = w.rstrip(MARKS)
+            parts[w] = (stem, w[len(stem) :]) if len(stem) < len(w) and stem[-1:].isalpha() else (w, "")
+        stems = [x for x in {x for x, _ in parts.values()} if x not in known]
+        known.update(zip(stems, self._words([blank + x for x in stems])))
+        tails = [x for x in {x for _, x in parts.values()} if x and x not in self.first]
+        self.first.update(zip(tails, self._raw(tails)))
+        known.update((w, known[stem] + self.first[tail]) for w, (stem, tail) in parts.items() if tail)
+
+
+def held_encoder(path: str) -> Encoder:
+    """This worker's encoder: it and the words it knows outlive a task."""
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_held_encoders", {})
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 def _encoded(path: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
-        end = b"" if end_id is None else np.array([end_id], dtype=encoder.dtype).tobytes()
+        encoder = held_encoder(path)
+        end = b"" if end_id is None else array(encoder.code, [end_id]).tobytes()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a in range(0, len(texts), 64):
                 ids = [x + end for x in encoder.encode([t or "" for t in texts[a : a + 64]])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 64), pa.array([len(x) // encoder.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 64), pa.array([len(x) // encoder.width for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return run
 
@@ -151,13 +197,9 @@ def _counted(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for raw in batch.column(0):
-                counts = np.bincount(np.frombuffer(raw.as_buffer(), dtype=f"<u{width}"))
-                if len(counts) > len(total):
-                    counts[: len(total)] += total
-                    total = counts
-                else:
-                    total[: len(counts)] += counts
+            counts = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=f"<u{width}"), minlength=len(total))
+            counts[: len(total)] += total
+            total = counts
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
@@ -202,7 +244,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int | None =
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    width = Encoder(tokenizer, 0).dtype.itemsize
+    width = Encoder(tokenizer, 0).width
     raw = f"{path}/raw"
     docs.mapInArrow(_encoded(tokenizer, end_id), "doc_id long, n_tokens long, ids binary").write.option("compression", "zstd").parquet(raw)
     ids = spark.read.schema("doc_id long, n_tokens long, ids binary").parquet(raw)
