@@ -23,11 +23,14 @@ def crc32(data: Column) -> Column:
     return F.crc32(data)
 
 
+def byte_pairs(text: Column) -> Column:
+    """The UTF-8 bytes of a text as pairs of hexadecimal digits, found in one pass."""
+    return F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
+
+
 def bytes_of(text: Column) -> Column:
     """The UTF-8 bytes of a text as an array of whole numbers."""
-    hexes = F.hex(F.encode(text, "UTF-8"))
-    n = F.length(hexes) / 2
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.conv(F.substr(hexes, 2 * i - 1, F.lit(2)), 16, 10).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    return F.transform(byte_pairs(text), lambda x: F.conv(x, 16, 10).cast("bigint"))
 
 
 def fnv1a(data: Column) -> Column:
