@@ -204,6 +204,15 @@ def test_licences():
     assert family("Der mit und die.") is None and family("the copyright law was debated in parliament for many years and years") is None and family("") is None
 
 
+def test_licences_score_every_paragraph():
+    model = licences.train(["Der Hund ging mit der Frau.", "It was a public matter of common attribution in the domain of the crown."])
+    family = lambda s: (model.judge(s) or (None,))[0]
+    assert [(f, t) for f, t in licences.notices() if family(t) != f] == []
+    wanted = {"Released under the Creative Commons Zero.": "CC0", "Available under the public domain dedication.": "CC0", "Released under Apache 2.0.": "Apache-2.0", "LGPLv2 or later": "LGPL", "CC-SA": "CC-BY-SA", "Todos los derechos reservados.": "Proprietary", "Lizenziert unter der MIT License.": "MIT"}
+    assert {t: family(t) for t in wanted} == wanted
+    assert family("Der mit.") is None and family("Public matter.") is None
+
+
 def test_licence_query_by_brute_force(spark, sf_dir):
     notices = {"This work is licensed under the GNU General Public License, version 3.": "GPL", "All rights reserved.": "Proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0"}
     want = {(d.doc_id, k, notices[line]) for d in read_table(spark, sf_dir, "documents").collect() for k, line in enumerate((d.text or "").split("\n")) if line in notices}
