@@ -165,6 +165,20 @@ def test_segments_against_brute_force():
         assert [(a, b) for a, b, _ in toxicity.segments(s)] == brute(s, 0, len(s))
 
 
+def test_toxic_passages_are_all_found_and_repeats_saturate():
+    model = toxicity.Model({"vile": 5.0, "scum": 4.0, "kind": -4.0}, 1.0, 0.1, 1.0, 0.0)
+    plain = ["so"] * 200
+    passage = ["vile", "scum", "vile"]
+    found, whole = model.scan(["vile", *plain, *passage, *plain, *passage], {})
+    assert [(a, b) for a, b, _ in found] == [(0, 1), (201, 204), (404, 407)]
+    evidence = lambda n: model.scan(["vile"] * n + plain[: 100 - n], {})[1]
+    assert 0 < evidence(1) < evidence(2) < evidence(40) < 5 * (evidence(1) + 3)
+    assert whole > model.scan([*passage, *plain, *plain], {})[1]
+    assert [(a, b) for a, b, _ in model.scan(["vile", *["kind"] * 2, "vile"], {})[0]] == [(0, 1), (3, 4)]
+    odds = toxicity.log_odds([("mild", 60, 5), ("calm", 5, 60), ("flat", 50, 50)], 1000, 1000)
+    assert set(odds) == {"mild", "calm"} and odds["calm"] < 0 < odds["mild"] < 3
+
+
 @pytest.fixture(scope="module")
 def fixture_dir():
     return "/root/testdata/sf0.1"

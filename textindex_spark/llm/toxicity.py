@@ -3,14 +3,15 @@
 Fitting. Over a bounded labelled sample (PER_CLASS documents of each class, distinct texts), each token's share of toxic
 and of other documents is smoothed by a Dirichlet prior and gives a log-odds score. A token counts by itself and by its
 prefixes; an unseen word takes the score of its longest prefix that has one, so inflected forms of a toxic stem are
-found. Tokens whose log-odds are neither large nor sure score -DRIFT, which makes the mean score negative; a word that
-a text repeats scores the first time only.
+found. Tokens whose log-odds, positive or negative, are neither large nor sure score -DRIFT, which makes the mean score
+negative.
 
 Scan. All maximal scoring segments of a text are found in one linear pass over its scores. Extreme-value statistics of
 such segments (lambda and K fitted to the token scores of the documents labelled 0) turn a segment of score S in a text
 of n tokens into an expected number K n exp(-lambda S) of equally good chance segments; segments with less than
-MAX_EXPECTED are significant. A document's evidence is the sum over its significant segments of lambda S - ln(K n),
-and a logistic curve fitted to the sample turns the evidence into a score between 0 and 1.
+MAX_EXPECTED are significant: these are the passages. A document's evidence is found in the same way from scores in which
+the k-th mention of a toxic word counts 1/k, the strongest passage first, so repeats add ever less: the sum over the
+significant segments of lambda S - ln(K n). A logistic curve fitted to the sample turns the evidence into a score between 0 and 1.
 
 Only the text enters a score. The model is a few thousand tokens (MAX_TOKENS at most); workers memorise the scores of
 words they have met, up to a bound.
@@ -39,7 +40,7 @@ PER_CLASS = 3000
 MAX_TOKENS = 50_000
 PREFIXES = (6, 5, 4)
 #: A token carries a score of its own from this log-odds and this many standard errors on.
-LEAST_ODDS, LEAST_Z = 3.0, 3.0
+LEAST_ODDS, LEAST_Z = 2.0, 3.0
 PRIOR = 0.5
 DRIFT = 0.1
 MAX_EXPECTED = 1.0
@@ -96,23 +97,31 @@ class Model:
                 return self.scores[f]
         return -DRIFT
 
-    def scan(self, words: list[str], memory: dict[str, float]) -> list[tuple[int, int, float]]:
-        """Significant segments (first word, end, evidence)."""
+    def scan(self, words: list[str], memory: dict[str, float]) -> tuple[list[tuple[int, int, float]], float]:
+        """Significant segments (first word, end, evidence), and the evidence of the text."""
         if len(memory) > MEMORY:
             memory.clear()
         new = set(words).difference(memory)
         memory.update(zip(new, map(self.of_word, new)))
         values = [*map(memory.__getitem__, words)]
         if not values or max(values) <= 0:
-            return []
-        seen: set[str] = set()
-        for i, v in enumerate(values):
-            if v > 0:  # a word said again tells nothing new
-                if words[i] in seen:
-                    values[i] = 0.0
-                seen.add(words[i])
-        least = math.log(self.k * len(words) / MAX_EXPECTED)
-        return [(a, b, self.lam * s - math.log(self.k * len(words))) for a, b, s in segments(values) if self.lam * s > least]
+            return [], 0.0
+        chance = math.log(self.k * len(words))
+        least = chance - math.log(MAX_EXPECTED)
+        found = [(a, b, self.lam * s - chance) for a, b, s in segments(values) if self.lam * s > least]
+        if not found:
+            return [], 0.0
+        said: Counter = Counter()
+        whole = 0.0
+        # the strongest passage first, so a mention elsewhere does not weaken it
+        for a, b, _ in sorted(found, key=lambda x: (-x[2], x[0])):
+            damped = values[a:b]
+            for i, v in enumerate(damped):
+                if v > 0:
+                    said[words[a + i]] += 1
+                    damped[i] = v / said[words[a + i]]
+            whole += sum(self.lam * s - chance for _, _, s in segments(damped) if self.lam * s > least)
+        return found, whole
 
     def score(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * math.log1p(max(0.0, evidence)) + self.intercept))))
@@ -123,9 +132,9 @@ def log_odds(counts: list[tuple[str, int, int]], toxic: int, other: int) -> dict
     out = {}
     for f, a, b in counts:
         odds = math.log((a + PRIOR) / (toxic - a + PRIOR)) - math.log((b + PRIOR) / (other - b + PRIOR))
-        if odds >= LEAST_ODDS and odds >= LEAST_Z * math.sqrt(1 / (a + PRIOR) + 1 / (b + PRIOR)):
+        if abs(odds) >= LEAST_ODDS and abs(odds) >= LEAST_Z * math.sqrt(1 / (a + PRIOR) + 1 / (b + PRIOR)):
             out[f] = odds
-    return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:MAX_TOKENS])
+    return dict(sorted(out.items(), key=lambda x: (-abs(x[1]), x[0]))[:MAX_TOKENS])
 
 
 def extreme_values(values: Counter, tokens: int) -> tuple[float, float]:
@@ -138,7 +147,8 @@ def extreme_values(values: Counter, tokens: int) -> tuple[float, float]:
     p = {s: (n + PRIOR) / total for s, n in values.items()}
     rest = 1 - sum(p.values())
     f = lambda lam: rest * math.exp(-lam * DRIFT) + sum(q * math.exp(lam * s) for s, q in p.items()) - 1
-    if not p or f(1e-6) >= 0:
+    rise = sum(q for s, q in p.items() if s > 0)
+    if not rise or f(1e-6) >= 0:
         return 1.0, 1.0
     lo, hi = 1e-6, 1.0
     while f(hi) < 0 and hi < 64:
@@ -146,7 +156,7 @@ def extreme_values(values: Counter, tokens: int) -> tuple[float, float]:
     for _ in range(60):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
-    return lo, max(sum(p.values()), 1e-6)
+    return lo, max(rise, 1e-6)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -183,9 +193,9 @@ def _evidence(shared):
             for text, label in zip(*(c.to_pylist() for c in batch.columns)):
                 words = WORD.findall((text or "").lower())
                 labels.append(label)
-                evidence.append(sum(e for _, _, e in model.scan(words, memory)))
+                evidence.append(model.scan(words, memory)[1])
                 lengths.append(len(words))
-                values.append([s for s in map(model.of_word, words) if s > 0])
+                values.append([s for s in map(memory.__getitem__, words) if s != -DRIFT])
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(evidence, pa.float64()), pa.array(lengths, pa.int64()), pa.array(values, pa.list_(pa.float64()))], ["label", "evidence", "n", "hits"])
 
     return run
@@ -197,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     spark = docs.sparkSession
     sample = materialize(labelled_sample(docs, labels, label, per_class).dropDuplicates(["text"]).select("text", "label"), "toxic-sample")
     counted = sample.mapInArrow(_partial_counts, "feature string, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    # Bounded: features come from at most 2 * PER_CLASS documents, and those that too few toxic documents hold can
+    # Bounded: features come from at most 2 * PER_CLASS documents, and those that too few documents hold can
     # not reach the least odds; the rest are ranked and cut at MAX_TOKENS before they are collected.
     whole = counted.where("feature = ''").toPandas()
     toxic, other = (int(whole["toxic"].iloc[0]), int(whole["other"].iloc[0])) if len(whole) else (0, 0)
@@ -205,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
         return Model({}, 1.0, 1.0, 0.0, -30.0)
     odds = F.log((F.col("toxic") + PRIOR) / (toxic - F.col("toxic") + PRIOR)) - F.log((F.col("other") + PRIOR) / (other - F.col("other") + PRIOR))
     error = F.sqrt(1 / (F.col("toxic") + PRIOR) + 1 / (F.col("other") + PRIOR))
-    strong = counted.where("feature <> ''").where((odds >= LEAST_ODDS - 1e-6) & (odds >= (LEAST_Z - 1e-6) * error)).orderBy(odds.desc(), "feature").limit(MAX_TOKENS)
+    strong = counted.where("feature <> ''").where((F.abs(odds) >= LEAST_ODDS - 1e-6) & (F.abs(odds) >= (LEAST_Z - 1e-6) * error)).orderBy(F.abs(odds).desc(), "feature").limit(MAX_TOKENS)
     model = Model(log_odds([(r["feature"], r["toxic"], r["other"]) for r in strong.collect()], toxic, other), 1.0, 1.0, 0.0, 0.0)
     ddl = "label int, evidence double, n long, hits array<double>"
 
@@ -230,9 +240,9 @@ def _scored(shared):
             n, spans, evidence = [], [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
-                found = model.scan(WORD.findall(text.lower()), memory)
+                found, whole = model.scan(WORD.findall(text.lower()), memory)
                 n.append(len(found))
-                evidence.append(sum(x[2] for x in found))
+                evidence.append(whole)
                 # places in the text, where its lower-case form has as many characters
                 at = [m.span() for m in WORD.finditer(text)] if found else []
                 spans.append([{"start": at[a][0], "end": at[b - 1][1], "evidence": e} for a, b, e in found if b <= len(at)])
@@ -258,7 +268,7 @@ def _kept(shared, threshold: float):
         model, memory = Model(*shared.value), {}
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            evidence = [sum(x[2] for x in model.scan(WORD.findall((t or "").lower()), memory)) for t in texts]
+            evidence = [model.scan(WORD.findall((t or "").lower()), memory)[1] for t in texts]
             yield batch.filter(pa.array([round(model.score(e), 6) < threshold for e in evidence], pa.bool_()))
 
     return run
