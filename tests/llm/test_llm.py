@@ -345,6 +345,13 @@ def test_html_removes_what_a_site_repeats(spark):
     assert html_extract.extract(d.limit(0)).count() == 0
 
 
+def test_html_roles_do_not_remove_article_text(spark):
+    own = "<article><header><h1>Title {0}</h1></header><section id=discussion><p>Debate {0}</p></section><p class=share-price>Price {0}</p><figure><figcaption>Caption {0}</figcaption></figure><math><mi>x{0}</mi></math><div class=share>Share this</div></article>"
+    rows = [(i, f"http://h.example/{i}", f"<nav>Menu</nav>{own.format(i)}<footer>Foot {i}</footer>") for i in range(60)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[7] == "Title 7\n\nDebate 7\n\nPrice 7\n\nCaption 7\n\nx7"
+
+
 def test_quality_rules_bear_odd_rows(odd):
     got = quality_rules.judge(odd)
     assert got.count() == odd.count() and quality_rules.judge(odd.limit(0)).count() == 0

@@ -8,7 +8,8 @@ Two measures give a node's importance.
   over the pages of a site has low importance, text of one page has importance 1. The same path over all hosts backs up
   hosts with few pages.
 * Presentation importance: the roles that tags, classes and ids declare. Navigation, page headers and footers, asides,
-  forms, adverts, notices, reader comments and the like have importance 0, and so has everything below them.
+  forms, adverts, notices, reader comments and the like have importance 0, and so has everything below them. Below
+  article and main such a role removes nothing by itself: what stands there goes only if its content repeats.
 
 Each page loses the branches of low importance; the blocks that are left, in page order, are its text.
 
@@ -42,11 +43,11 @@ BROADCAST_ROWS = 20_000
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup.
-RAW = "script|style|textarea|title|xmp|iframe|noembed|noframes|noscript|template|svg|math|canvas|object|select"
+RAW = "script|style|textarea|title|xmp|iframe|noembed|noframes|template|svg|canvas|select|annotation|annotation-xml"
 #: Elements that stand for what a reader does not come for.
-OUTSIDE = frozenset("head nav header footer aside form menu dialog button label fieldset option datalist video audio picture map figcaption".split())
+OUTSIDE = frozenset("head nav header footer aside form menu dialog button label fieldset option datalist video audio picture map noscript".split())
 #: Elements that run inside a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img label object math semantics mrow mi mn mo ms mtext mfrac msqrt mroot msup msub msubsup mover munder munderover mstyle mpadded mfenced".split())
 #: Elements that end an open one of the same or a listed kind.
 CLOSES = {
     "p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
@@ -68,11 +69,12 @@ def _key(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """The node's label in the style tree, and whether it declares a part outside the main text."""
+def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """The node's label in the style tree, whether it declares a part outside the main text, and whether it is hidden."""
     outside = tag in OUTSIDE
+    hidden = tag == "head"
     if "=" not in attributes:
-        return tag, outside
+        return tag, outside, hidden
     names = []
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
@@ -83,22 +85,31 @@ def _label(tag: str, attributes: str) -> tuple[str, bool]:
             if name == "class":
                 names += words
         elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
-            outside = True
-    return ".".join([tag, *names]), outside
+            hidden = True
+    return ".".join([tag, *names]), outside, hidden
+
+
+#: Where a block stands: by no role outside the main text, or below article or main, by a role there or not.
+FREE, CORE, DOUBTFUL = 0, 1, 2
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
-    """(path, text) of every block of a page, in page order, without the branches whose roles are outside."""
-    out: list[tuple[str, str]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, path, outside
+    """(path, text) of every block of a page that its roles alone do not remove, in page order."""
+    return [(path, text) for path, text, _ in placed_blocks(page)]
+
+
+def placed_blocks(page: str) -> list[tuple[str, str, int]]:
+    """(path, text, place) of every block of a page, in page order, without what stands outside by its role."""
+    out: list[tuple[str, str, int]] = []
+    stack: list[tuple[str, str, bool, int]] = []  # tag, path, outside, place
     text: list[str] = []
 
     def flush() -> None:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                block = next((p for t, p, _ in reversed(stack) if t not in INLINE), "")
-                out.append((block, joined))
+                block, place = next(((p, place) for t, p, _, place in reversed(stack) if t not in INLINE), ("", FREE))
+                out.append((block, joined, place))
             text.clear()
 
     def add(s: str) -> None:
@@ -119,7 +130,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if m[2]:
             found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if found >= 0:
-                if any(t not in INLINE for t, _, _ in stack[found:]):
+                if any(t not in INLINE for t, *_ in stack[found:]):
                     flush()
                 del stack[found:]
             continue
@@ -130,10 +141,16 @@ def blocks(page: str) -> list[tuple[str, str]]:
             if stack[i][0] not in INLINE:
                 break
         if tag not in VOID and not m[4].endswith("/"):
-            label, outside = _label(tag, m[4])
-            above = stack[-1] if stack else ("", "", False)
-            # the header of an article is not that of the page, but a part's role holds for all below it
-            stack.append((tag, f"{above[1]}>{label}" if tag not in INLINE else above[1], above[2] or outside))
+            label, outside, hidden = _label(tag, m[4])
+            above = stack[-1] if stack else ("", "", False, FREE)
+            place = above[3]
+            if place == FREE and not outside and tag in ("article", "main"):
+                place = CORE
+            elif place == CORE and outside:
+                place = DOUBTFUL
+            # a part's role holds for all below it; below article and main it is only a doubt
+            gone = hidden or above[2] or (outside and place == FREE)
+            stack.append((tag, f"{above[1]}>{label}" if tag not in INLINE else above[1], gone, place))
     add(page[at:])
     flush()
     return out
