@@ -352,6 +352,17 @@ def test_html_roles_do_not_remove_article_text(spark):
     assert got[7] == "Title 7\n\nDebate 7\n\nPrice 7\n\nCaption 7\n\nx7"
 
 
+@pytest.mark.parametrize("pages", [19, 20, 40])
+def test_html_keeps_articles_that_recur(pages, spark):
+    # few articles in many copies, each page with a script of its own; headings that recur
+    page = "<div><span>Same on every page</span></div><script>var id={0}</script><article><h2>Method</h2><p>Article {1}</p></article>"
+    plain = "<script>var id={0}</script><div class=x><p>Article {1}</p></div>"
+    rows = [(i, f"http://a.example/{i}", page.format(i, i % 4)) for i in range(pages)] + [(100 + i, f"http://b.example/{i}", plain.format(i, i % 4)) for i in range(pages)]
+    rows += [(200 + i, "http://c.example/", f"<article><h2>Method</h2><p>Other {i}</p></article>") for i in range(pages)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].endswith(f"Method\n\nArticle {i % 4}") and got[100 + i] == f"Article {i % 4}" and got[200 + i] == f"Method\n\nOther {i}" for i in range(pages))
+
+
 def test_quality_rules_bear_odd_rows(odd):
     got = quality_rules.judge(odd)
     assert got.count() == odd.count() and quality_rules.judge(odd.limit(0)).count() == 0

@@ -4,12 +4,19 @@ All pages of a host are merged into one style tree: an element node is the path
 Two measures give a node's importance.
 
 * Content importance: of the texts that stand at a path on m pages of a host, one that is on k of them has entropy
-  log k / log m; the node's content importance is one minus the mean entropy of its distinct texts. Text that repeats
-  over the pages of a site has low importance, text of one page has importance 1. The same path over all hosts backs up
-  hosts with few pages.
-* Presentation importance: the roles that tags, classes and ids declare. Navigation, page headers and footers, asides,
-  forms, adverts, notices, reader comments and the like have importance 0, and so has everything below them. Below
-  article and main such a role removes nothing by itself: what stands there goes only if its content repeats.
+  log k / log m; the path's content importance is one minus the mean entropy of its distinct texts, so text of one page
+  weighs as much as text of all.
+* Presentation importance: a page shows a path in some style, the number of its blocks there. With l styles, used by
+  shares p of the m pages, it is -sum p log p / log m, and the importance of the path is (1 - GAMMA^(l - 1)) of it and
+  GAMMA^(l - 1) of its content importance, or its content importance if that is higher.
+
+The evidence of a host of m pages counts m, that of the same path over all hosts MIN_PAGES, and over all M pages the
+latter counts M against MIN_PAGES of a path that is important: nothing switches at some size. Pages with the same blocks
+are one page of evidence, whatever their scripts.
+
+Roles that tags, classes and ids declare (navigation, page headers and footers, adverts, comments and the like) are a
+prior. Outside article and main they remove a branch. Below article or main, a branch goes only if it has such a role and
+low importance too; no other text there is removed, however often it recurs.
 
 Each page loses the branches of low importance; the blocks that are left, in page order, are its text.
 
@@ -17,8 +24,8 @@ Counts are aggregated by (host, path, text) and then by (host, path), with map-s
 of all pages meets in no task. What a page needs is its host's list of unimportant paths: one row for each host, which
 is broadcast only up to BROADCAST_ROWS rows and joined by a shuffle beyond.
 
-Defined results: null or empty html gives the empty text and length 0; a null or odd url is the host ""; equal pages of a
-host count once in the entropy and come out as often as they went in; an empty table gives no
+Defined results: null or empty html gives the empty text and length 0; a null or odd url is the host ""; pages of a
+host with equal blocks count once in the entropy and come out as often as they went in; an empty table gives no
 rows; extra columns are ignored. Tags that are never closed, cut off or misnested are closed where their parents end.
 """
 
@@ -27,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,9 +43,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize, read_table
 
-#: Paths whose content importance, over at least MIN_PAGES pages, is below this are removed.
+#: Paths whose importance is below this are removed.
 LEAST_IMPORTANCE = 0.5
+#: So many pages does the evidence of other hosts, and that of none, count.
 MIN_PAGES = 20
+#: How fast styles of a path make its presentation count.
+GAMMA = 0.9
 BROADCAST_ROWS = 20_000
 
 #: Elements without an end tag.
@@ -156,39 +167,54 @@ def placed_blocks(page: str) -> list[tuple[str, str, int]]:
     return out
 
 
+def _node(path: str, place: int) -> int:
+    """Key of a node of the style tree; doubtful branches are nodes of their own."""
+    return _key(f"{path}?" if place == DOUBTFUL else path)
+
+
 def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, text) as keys: one row for each distinct text of each path of a page."""
+    """(host, signature of all blocks, seen) of each page: the distinct texts and the style of every node that may go."""
+    kind = pa.list_(pa.struct([("path", pa.int64()), ("styled", pa.bool_()), ("value", pa.int64())]))
     for batch in batches:
-        hosts, paths, texts = [], [], []
+        hosts, signatures, seen = [], [], []
         for host, page in zip(*(c.to_pylist() for c in batch.columns)):
-            for path, text in dict.fromkeys((_key(p), _key(t)) for p, t in blocks(page or "")):
-                hosts.append(host)
-                paths.append(path)
-                texts.append(text)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(texts, pa.int64())], ["host", "path", "text"])
+            found = placed_blocks(page or "")
+            nodes = [(_node(p, place), t) for p, t, place in found if place != CORE]
+            hosts.append(host)
+            signatures.append(_key(repr(found)))
+            texts = [{"path": n, "styled": False, "value": _key(t)} for n, t in dict.fromkeys(nodes)]
+            seen.append(texts + [{"path": n, "styled": True, "value": k} for n, k in Counter(n for n, _ in nodes).items()])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(signatures, pa.int64()), pa.array(seen, kind)], ["host", "signature", "seen"])
 
 
 def _importance(counts: DataFrame, by: list[str], pages: DataFrame) -> DataFrame:
-    """(by, path, pages, importance) from (by, path, text, n): the style tree's content importance."""
-    m = F.greatest(F.col("pages"), F.lit(2))
-    entropy = F.log(F.least(F.col("n"), m).cast("double")) / F.log(m.cast("double"))
+    """(by, path, pages, importance) from (by, path, styled, value, n): content and presentation importance in one."""
+    m = F.greatest(F.col("pages"), F.lit(2)).cast("double")
     joined = counts.join(pages, by) if by else counts.crossJoin(F.broadcast(pages))
-    return joined.groupBy(*by, "path").agg(F.max("pages").alias("pages"), (1 - F.avg(entropy)).alias("importance"))
+    entropy = F.log(F.least(F.col("n").cast("double"), m)) / F.log(m)
+    share = F.least(F.col("n") / m, F.lit(1.0))
+    nodes = joined.groupBy(*by, "path").agg(
+        F.max("pages").alias("pages"), (1 - F.avg(F.when(~F.col("styled"), entropy))).alias("content"),
+        F.sum(F.when(F.col("styled"), -share * F.log(share) / F.log(m))).alias("shown"), F.count_if("styled").alias("styles"),
+    )
+    weight = F.pow(F.lit(GAMMA), F.col("styles") - 1)
+    return nodes.select(*by, "path", "pages", F.greatest("content", (1 - weight) * F.col("shown") + weight * F.col("content")).alias("importance"))
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, unimportant): for each host the paths, as keys, that are removed from its pages."""
-    pages = pages.select("host", "html").distinct()  # copies of a page are no evidence that its text repeats
-    seen = materialize(
-        pages.mapInArrow(_observed, "host string, path long, text long").groupBy("host", "path", "text").agg(F.count(F.lit(1)).alias("n")),
-        "style-counts",
-    )
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    """(host, unimportant): for each host the nodes, as keys, that are removed from its pages."""
+    observed = pages.select("host", "html").mapInArrow(_observed, "host string, signature long, seen array<struct<path:long,styled:boolean,value:long>>")
+    # pages with the same blocks are no evidence that their text repeats
+    single = materialize(observed.dropDuplicates(["host", "signature"]), "style-pages")
+    counts = single.select("host", F.explode("seen").alias("s")).groupBy("host", "s.path", "s.styled", "s.value").agg(F.count(F.lit(1)).alias("n"))
+    seen = materialize(counts, "style-counts")
+    sizes = single.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     whole = sizes.agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("pages"))  # one row
-    low = (F.col("pages") >= MIN_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)
-    own = _importance(seen, ["host"], sizes).select("host", "path", low.alias("low"), (F.col("pages") >= MIN_PAGES).alias("sure"))
-    common = _importance(seen.groupBy("path", "text").agg(F.sum("n").alias("n")), [], whole).select("path", low.alias("low_all"))
-    verdict = own.join(common, "path").where(F.when(F.col("sure"), F.col("low")).otherwise(F.col("low_all")))
+    own = _importance(seen, ["host"], sizes)
+    common = _importance(seen.groupBy("path", "styled", "value").agg(F.sum("n").alias("n")), [], whole)
+    blend = lambda x, y: (F.col("pages") * F.col(x) + MIN_PAGES * y) / (F.col("pages") + MIN_PAGES)
+    common = common.select("path", blend("importance", F.lit(1.0)).alias("elsewhere"))
+    verdict = own.join(common, "path").where(blend("importance", F.col("elsewhere")) < LEAST_IMPORTANCE)
     return verdict.groupBy("host").agg(F.collect_set("path").alias("unimportant"))
 
 
@@ -197,7 +223,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for page, unimportant in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             gone = frozenset(unimportant or ())
-            texts.append("\n\n".join(t for p, t in blocks(page or "") if not gone or _key(p) not in gone))
+            texts.append("\n\n".join(t for p, t, place in placed_blocks(page or "") if not gone or place == CORE or _node(p, place) not in gone))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
