@@ -266,7 +266,7 @@ def brute_links(rows):
     return {i: (least[find(n)], links[n]) for n, (i, _) in enumerate(sets)}
 
 
-@pytest.mark.parametrize("block", [16, 1024])
+@pytest.mark.parametrize("block", [16, 2048])
 def test_jaccard_join_by_brute_force(block, spark, sf_dir, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rows = [(r.doc_id, r.text) for r in read_table(spark, sf_dir, "documents").collect()]
@@ -283,16 +283,67 @@ def test_jaccard_join_by_brute_force(block, spark, sf_dir, monkeypatch):
     assert got == brute_links(rows)
 
 
-def test_jaccard_join_bears_odd_rows(odd):
+def test_jaccard_join_bears_odd_rows(spark, odd):
     assert jaccard_join.join(odd).count() == odd.count()
     kept = jaccard_join.keep_one(odd)
     assert kept.columns == odd.columns and kept.where("doc_id = 4").count() == 1 and kept.count() == odd.count() - 1
-    assert jaccard_join.join(odd.limit(0)).count() == 0
-
-
-def test_prefix_depth_reaches_the_recall():
-    k = jaccard_join.needed_depth()
-    assert 1 - (1 - 0.8**k) ** jaccard_join.TREES >= 0.999 > 1 - (1 - 0.8 ** (k + 1)) ** jaccard_join.TREES
+    assert jaccard_join.join(odd.limit(0)).count() == 0 and jaccard_join.keep_one(odd.limit(0)).count() == 0
+    clash = odd.withColumn("_gone", F.lit(1)).withColumn("_twice", F.lit(1)).withColumn("n", F.lit(1)).withColumn("first", F.lit(1)).withColumn("rep", F.lit(1)).withColumn("root", F.lit(1))
+    assert jaccard_join.keep_one(clash).columns == clash.columns and jaccard_join.keep_one(clash).count() == odd.count() - 1
+    texts = spark.createDataFrame([(1, None), (2, None)], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.join(texts).collect())) == [(1, 1, 0), (2, 2, 0)]
+
+
+def test_jaccard_join_of_an_id_with_two_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(100)), " ".join(f"b{i}" for i in range(100))
+    rows = [(5, a), (5, b), (7, a.replace("a50", "x")), (8, b.replace("b50", "x")), (9, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.join(docs).collect())) == [(5, 5, 1), (5, 5, 2), (7, 5, 2), (8, 5, 1), (9, 5, 2)]
+    assert sorted(map(tuple, jaccard_join.keep_one(docs).collect())) == [(5, a), (5, b)]
+
+
+def test_prefixes_shorten_until_the_recall():
+    j = jaccard_join
+    assert j.least_depth() == 6 and [j.enough_matches(k) for k in (6, 7, 8)] == [0, 2, 7]
+    for k in (6, 7, 8):
+        assert j.missed(0.8, k) * j.missed(0.6, k) ** j.enough_matches(k) <= 1 - j.TARGET_RECALL
+    assert j.missed(0.8, 7) > 1 - j.TARGET_RECALL
+
+
+def test_ties_follow_the_settled_lengths():
+    import pyarrow as pa
+
+    label = lambda *h: np.array(h, dtype=">u2").tobytes()
+    same = [1, 1, 1, 1, 1, 1]
+    # two texts with eight hashes in common, two others with six in common with them; then a run of seven
+    labels = [label(0, *[0] * 7), label(*same, 1, 1), label(*same, 2, 2), label(*same, 2, 2), label(*same, 3, 3), label(2, *[1] * 6, 0), label(2, *[1] * 6, 5), label(9, *[0] * 7)]
+
+    def tied(depths):
+        batch = pa.RecordBatch.from_arrays([pa.array([0] * 8, pa.int32()), pa.array(labels, pa.binary()), pa.array(range(8), pa.int64()), pa.array(depths, pa.int32())], ["tree", "label", "rep", "depth"])
+        return [(r["a"], r["b"]) for b in jaccard_join._ties(6)(iter([batch])) for r in b.to_pylist() if r["tree"] is None]
+
+    assert tied([8] * 8) == [(2, 3)]
+    assert tied([8, 6, 8, 8, 8, 8, 8, 8]) == [(1, 2), (2, 3), (3, 4)]
+    assert tied([8, 8, 8, 8, 7, 8, 7, 8]) == [(2, 3), (5, 6)]
+
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 8, pa.int32()), pa.array(labels, pa.binary()), pa.array(range(8), pa.int64())], ["tree", "label", "rep"])
+    for size in (1, 3, 8):
+        got = [(r["rep"], r["match"]) for b in jaccard_join._matched(6)(batch.slice(a, size) for a in range(0, 8, size)) for r in b.to_pylist()]
+        assert got == [(0, 0), (1, 6), (2, 8), (3, 8), (4, 6), (5, 7), (6, 7), (7, 0)]
+
+
+def test_components_against_brute_force(spark):
+    rng = random.Random(5)
+    edges = {(min(a, b), max(a, b)) for a, b in [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] if a != b}
+    chain = list(range(1000, 1200))
+    rng.shuffle(chain)
+    edges |= {(min(a, b), max(a, b)) for a, b in zip(chain, chain[1:])} | {(2000, k) for k in range(2001, 2300)}
+    root = {n: n for e in edges for n in e}
+    for _ in range(400):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.root for r in jaccard_join.components(spark.createDataFrame(sorted(edges), "a long, b long")).collect()}
+    assert set(got) == set(root) and len(set(got.values())) == len(set(root.values())) == len({(got[n], root[n]) for n in root})
 
 
 def test_masks_hit_every_stretch():

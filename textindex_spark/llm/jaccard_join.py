@@ -3,57 +3,82 @@
 Texts are sets of five-word shingles (lower-case words between white space; a text of under five words is one shingle).
 Two documents are linked if the Jaccard similarity of their sets is at least THRESHOLD.
 
-1. Texts that are equal as word sequences form one representative, with its number of copies (map-side combination, so
-   a group of copies with a third of all rows is one partial row a task).
+1. Texts that are equal as word sequences form one representative with a key of its own and its number of copies
+   (map-side combination, so a group of copies with a third of all rows is one partial row a task).
 2. A representative has a label in each of TREES tries: DEPTH min-hashes of its own. A trie is the table of labels in
-   sorted order: leaves with a common prefix are neighbours, so a range-partitioned sort builds all tries at once, and
-   no prefix, however common, has to fit a task. Matched prefixes start at DEPTH and are shortened for as long as two
-   documents at the threshold would meet in some tree with a probability under TARGET_RECALL; leaves that share the
-   prefix of that length are tied to the first of their run. A run that crosses partitions is stitched by the
-   partitions' first and last leaves.
-3. Ties form cells (connected components). All texts of a cell meet and are compared exactly: a small cell in one unit,
-   a large one as pairs of blocks of BLOCK texts, each a unit of its own. Pairs are never emitted: a unit counts links
-   and returns each text's links and the smallest text it is connected with.
-4. Components of the verified links are the classes; a class is named by its smallest doc_id.
-
-A pair at the threshold is missed with a probability under 1 - TARGET_RECALL, pairs above it far less; no candidate is
-dropped and nothing is capped.
+   sorted order: leaves with a common prefix are neighbours, so one range-partitioned sort builds all tries, and no
+   prefix, however common, has to fit a task. A leaf's match is its longest prefix in common with a neighbour.
+3. Each text begins with the prefix of DEPTH and shortens it until the target recall. At length k, a text at the
+   threshold misses it in all trees with probability (1 - t^k)^TREES; all texts of a cell are compared, so it must also
+   miss the texts that the first one has matched in other trees (at distance 1 - t or less of it, so by the triangle
+   inequality it has similarity 2t - 1 or more with them). A text with enough such matches keeps its length; one with too few
+   shortens it by one, down to the length at which no match is needed. A run of leaves that share a prefix is tied
+   together where the prefix is long enough for one of its texts: neighbour to neighbour, so no text has many ties.
+4. Ties form cells (connected components). All texts of a cell meet and are compared exactly. A large cell is cut into
+   bands of set size, of which only equal and neighbouring ones can hold similar texts, and bands into blocks; each pair
+   of blocks is a unit. Pairs are never emitted: a unit counts links and returns each text's links and the smallest text
+   it is connected with.
+5. Components of the verified links are the classes; a class is named by its smallest doc_id.
+
+No candidate is dropped and nothing is capped.
 
 Defined results: null texts and texts without words are linked with nothing; each row of the input gives one row, also
-if ids or rows repeat (they are then copies of each other); ties in naming go to the smallest id; an empty table gives
-no rows; extra columns are ignored.
+if ids or rows repeat: equal rows are copies of each other, and rows of one id with different texts are linked by their
+own texts; ties in naming go to the smallest id; rows with a null id do not count as links of others; an empty table
+gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import materialize, read_table, words_of
+from .common import materialize, read_table
 
 SHINGLE = 5
 THRESHOLD = 0.8
 TREES = 24
 DEPTH = 8
 TARGET_RECALL = 0.999
-BLOCK = 1024
-#: Ids (8 bytes each) of the documents in cells are broadcast up to this many.
-BROADCAST_IDS = 1_000_000
+#: A block holds so many texts and shingles at most (but one text, however long).
+BLOCK = 2048
+BLOCK_SHINGLES = 1 << 21
+#: Rows of three columns (some 60 bytes each) that may be broadcast.
+BROADCAST_ROWS = 300_000
 SEED = 147
 #: Columns of the incidence matrix that are multiplied at once.
 COLUMNS = 4096
+#: Word hashes that a worker keeps.
+MEMORY = 300_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def needed_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = TARGET_RECALL) -> int:
-    """The longest prefix, from depth down, at which documents of this similarity still meet in some tree often enough."""
-    for k in range(depth, 0, -1):
-        if 1 - (1 - threshold**k) ** trees >= recall:
+def missed(similarity: float, depth: int, trees: int = TREES) -> float:
+    """The chance that texts of this similarity have no prefix of this depth in common in any tree."""
+    return (1 - max(0.0, similarity) ** depth) ** trees
+
+
+def enough_matches(depth: int, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> float:
+    """In how many trees a text must be matched to this depth to keep it: 0 where the depth reaches the recall alone."""
+    alone, through = missed(threshold, depth), missed(2 * threshold - 1, depth)
+    if alone <= 1 - recall:
+        return 0
+    return math.ceil(math.log((1 - recall) / alone) / math.log(through)) if through < 1 else math.inf
+
+
+def least_depth(threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> int:
+    """The length down to which a text without matches shortens its prefix."""
+    for k in range(DEPTH, 0, -1):
+        if enough_matches(k, threshold, recall) == 0:
             return k
     raise ValueError("more trees are needed for this recall")
 
@@ -82,10 +107,37 @@ def shingles(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return h, begins
 
 
-def _word_arrays(column) -> tuple[np.ndarray, np.ndarray]:
-    offsets = column.offsets.to_numpy().astype(np.int64)
-    values = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint64)
-    return values, offsets - offsets[0]
+def words_of_text(text: str | None) -> list[bytes]:
+    """Lower-case words; bytes are split at exactly the six blanks of ASCII."""
+    return (text or "").lower().encode().split()
+
+
+def key_of(words: list[bytes]) -> bytes | None:
+    """Key of a word sequence, equal for copies; null where there is no word."""
+    return hashlib.md5(b" ".join(words), usedforsecurity=False).digest() if words else None
+
+
+class Hasher:
+    """64-bit hashes of words; remembers those it has met, up to a bound."""
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+
+    def arrays(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words of the texts, and where each text's begin."""
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        for w in set().union(*texts).difference(self.known):
+            self.known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+        offsets = np.concatenate([[0], np.cumsum([len(w) for w in texts])]).astype(np.int64)
+        return np.fromiter((self.known[w] for t in texts for w in t), dtype=np.uint64, count=int(offsets[-1])), offsets
+
+    def shingles(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """The distinct shingle hashes of each text, in ascending order."""
+        if not texts:
+            return []
+        h, begins = shingles(*self.arrays(texts))
+        return [np.unique(h[a:b]) for a, b in zip(begins[:-1], begins[1:])]
 
 
 def signatures(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -101,12 +153,20 @@ def signatures(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, key, number of distinct shingles, labels) of every row; null from key on where a text has no word."""
+    hasher = Hasher()
     for batch in batches:
         for a in range(0, batch.num_rows, 64):
             part = batch.slice(a, 64)
-            h, begins = shingles(*_word_arrays(part.column(2)))
-            labels = signatures(h, begins)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in labels], pa.binary())], ["doc_id", "key", "labels"])
+            words = [words_of_text(t) for t in part.column(1).to_pylist()]
+            some = [k for k, w in enumerate(words) if w]
+            sets = hasher.shingles([words[k] for k in some])
+            sizes, labels = [None] * len(words), [None] * len(words)
+            if sets:
+                signed = signatures(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
+                for k, s, label in zip(some, sets, signed):
+                    sizes[k], labels[k] = len(s), label.tobytes()
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([key_of(w) for w in words], pa.binary()), pa.array(sizes, pa.int64()), pa.array(labels, pa.binary())], ["doc_id", "key", "n", "labels"])
 
 
 def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,73 +179,138 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(reps))), pa.array(labels, pa.binary()), pa.array(np.repeat(reps, TREES))], ["tree", "label", "rep"])
 
 
-def _ties(depth: int):
-    """Ties of sorted leaves to the first leaf of their run; the runs at a partition's ends are kept as heads and tails."""
+def _common(tree: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """How many hashes each leaf's label shares with the next one's, from its beginning; 0 in another tree."""
+    same = label[1:] == label[:-1]
+    return np.where(tree[1:] == tree[:-1], np.cumprod(same, axis=1).sum(axis=1), 0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        names = ["part", "kind", "tree", "prefix", "a", "b"]
-        types = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
-        first = head = last = None
+def _matched(least: int):
+    """The sorted leaves whose match has a length of `least` or more, and a partition's first and last leaf."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["tree", "label", "rep", "match"]
+        held: pa.RecordBatch | None = None  # the last leaf so far, whose next one is unknown
+        before, first = 0, True
         for batch in batches:
-            rows = []
-            for tree, label, rep in zip(*(c.to_pylist() for c in batch.columns)):
-                key = (tree, label[: 2 * depth])
-                if head is None or head[0] != key:
-                    head = (key, rep)
-                    first = first or head
-                elif head[1] != rep:
-                    rows.append((part, "tie", *key, head[1], rep))
-            last = head
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-        if first:
-            ends = [(part, "first", *first[0], first[1], first[1]), (part, "last", *last[0], last[1], last[1])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ends), types)], names)
+            if not batch.num_rows:
+                continue
+            both = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks()
+            tree = both.column(0).to_numpy()
+            label = np.frombuffer(b"".join(both.column(1).to_pylist()), dtype=">u2").reshape(-1, DEPTH)
+            common = _common(tree, label)
+            match = np.maximum(np.concatenate([[before], common[:-1]]), common) if len(common) else np.zeros(0, dtype=np.int64)
+            keep = match >= least
+            if first and len(keep):
+                keep[0], first = True, False
+            at = pa.array(np.flatnonzero(keep))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in both.take(at).columns), pa.array(match[keep].astype(np.int32))], names)
+            held, before = batch.slice(batch.num_rows - 1, 1), int(common[-1]) if len(common) else 0
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([*held.columns, pa.array([before], pa.int32())], names)
+
+    return run
+
+
+def _ties(least: int):
+    """Ties (a, b) of neighbours among a partition's sorted leaves, and its first and last leaf under their prefixes.
+
+    Leaves come with the length that their text has settled on. A run that touches an end of the partition may go on in
+    another one, so it is tied whatever its texts' lengths.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        table = pa.Table.from_batches(rows)
+        tree, rep, depth = (table.column(k).to_numpy() for k in (0, 2, 3))
+        labels = table.column(1).to_pylist()
+        depth = depth.copy()
+        depth[[0, -1]] = least
+        common = _common(tree, np.frombuffer(b"".join(labels), dtype=">u2").reshape(-1, DEPTH))
+        tied = np.zeros(len(common), dtype=bool)
+        for k in range(least, DEPTH + 1):
+            run_of = np.concatenate([[0], np.cumsum(common < k)])
+            shortest = np.minimum.reduceat(depth, np.flatnonzero(np.diff(run_of, prepend=-1)))
+            tied |= (common >= k) & (shortest[run_of[1:]] <= k)
+        at = np.flatnonzero(tied)
+        names, kinds = ["tree", "prefix", "a", "b"], [pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary()), pa.array(rep[at]), pa.array(rep[at + 1])], names)
+        ends = [(tree[i], labels[i][: 2 * least], rep[i], rep[i]) for i in (0, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ends), kinds)], names)
 
     return run
 
 
-def ties(reps: DataFrame, depth: int) -> DataFrame:
-    """Distinct (a, b): representatives that share a prefix of this depth in some tree, as stars."""
+def ties(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Distinct (a, b), a < b: neighbours in a trie that share a prefix of the length that one of their run needs."""
+    least = least_depth(threshold)
+    order = ("tree", "label", "rep")
     leaves = reps.select("rep", "labels").mapInArrow(_leaves, "tree int, label binary, rep long")
-    ordered = leaves.repartitionByRange("tree", "label", "rep").sortWithinPartitions("tree", "label", "rep")
-    found = materialize(ordered.mapInArrow(_ties(depth), "part int, kind string, tree int, prefix binary, a long, b long"), "ties")
-    # two rows for each partition: the run that ends one may go on in the next
-    ends = found.where("kind <> 'tie'")
-    order = Window.orderBy("part", "kind")
-    seams = ends.select("tree", "prefix", "a", F.lag("tree").over(order).alias("t"), F.lag("prefix").over(order).alias("p"), F.lag("a").over(order).alias("b"))
-    seams = seams.where((F.col("tree") == F.col("t")) & (F.col("prefix") == F.col("p")) & (F.col("a") != F.col("b")))
-    both = found.where("kind = 'tie'").select("a", "b").unionByName(seams.select("a", "b"))
+    ordered = leaves.repartitionByRange(*order).sortWithinPartitions(*order)
+    found = materialize(ordered.mapInArrow(_matched(least), "tree int, label binary, rep long, match int"), "leaves")
+    depth = F.lit(least)
+    for k in range(least + 1, DEPTH + 1):
+        depth = F.when(F.count_if(F.col("match") >= k) >= enough_matches(k, threshold), k).otherwise(depth)
+    settled = found.groupBy("rep").agg(depth.alias("depth"))
+    ordered = found.join(settled, "rep").select(*order, "depth").repartitionByRange(*order).sortWithinPartitions(*order)
+    tied = materialize(ordered.mapInArrow(_ties(least), "tree int, prefix binary, a long, b long"), "ties")
+    # runs that go on in another partition: all first and last leaves of a prefix are tied to the smallest of them
+    ends = tied.where("tree is not null").select("tree", "prefix", "a")
+    seams = ends.join(ends.groupBy("tree", "prefix").agg(F.min("a").alias("b")), ["tree", "prefix"])
+    both = tied.where("tree is null").select("a", "b").unionByName(seams.select("a", "b")).where("a <> b")
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each node's component, for all nodes of the (a, b) edges.
+    """(node, root): one node that stands for each node's component, for all nodes of the (a, b) edges.
 
-    Each round gives a node the smallest root among its own and its neighbours', then follows roots to their roots.
-    Rounds are written to the shared folder, so a lost executor costs no more than the round it was in.
+    A round gives each node the smallest of itself and its neighbours, follows that one step further, and contracts:
+    edges are renamed and those inside a contracted node go. All but the local minima vanish in a round, and so do most
+    edges. Rounds are written to the shared folder, so a lost executor costs no more than the round it was in.
     """
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    roots = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "roots")
+    left = materialize(edges.select("a", "b"), "edges")
+    known = None
     while True:
-        heard = both.join(roots, both["b"] == roots["node"]).groupBy("a").agg(F.min("root").alias("m"))
-        lower = roots.join(heard, roots["node"] == heard["a"]).select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
-        hop = lower.select(F.col("node").alias("n"), F.col("root").alias("r"))
-        done = materialize(lower.join(hop, lower["root"] == hop["n"], "left").select("node", "old", F.least("root", F.coalesce("r", "root")).alias("root")), "roots")
-        roots = done.select("node", "root")
-        if done.where("root <> old").limit(1).count() == 0:
-            return roots
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")), "up")
+        hop = up.select(F.col("node").alias("n1"), F.col("up").alias("top"))
+        up = materialize(up.join(hop, up["up"] == hop["n1"]).select("node", "top"), "tops")
+        if known is None:
+            known = up.select("node", F.col("top").alias("root"))
+        else:
+            step = up.select(F.col("node").alias("n1"), F.col("top").alias("next"))
+            known = known.join(step, known["root"] == step["n1"], "left").select("node", F.coalesce("next", "root").alias("root"))
+        known = materialize(known, "roots")
+        # a top may itself have been contracted into another one
+        of_a, of_b = up.select(F.col("node").alias("na"), F.col("top").alias("ta")), up.select(F.col("node").alias("nb"), F.col("top").alias("tb"))
+        tops = up.where("node <> top").select("top").distinct()
+        again = tops.join(of_a, tops["top"] == of_a["na"]).select(F.col("top").alias("ta"), F.col("ta").alias("tb"))
+        renamed = left.join(of_a, left["a"] == of_a["na"]).join(of_b, F.col("b") == F.col("nb")).select("ta", "tb").unionByName(again).where("ta <> tb")
+        left = materialize(renamed.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
+        if left.limit(1).count() == 0:
+            return known
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, distinct shingle hashes) of the rows whose text has the key that is looked for."""
+    hasher = Hasher()
+    for batch in batches:
+        for a in range(0, batch.num_rows, 256):
+            reps, keys, texts = (c.to_pylist() for c in batch.slice(a, 256).columns)
+            words = [words_of_text(t) for t in texts]
+            some = [k for k, w in enumerate(words) if key_of(w) == keys[k]]
+            yield pa.RecordBatch.from_arrays([pa.array([reps[k] for k in some], pa.int64()), pa.array([s.tobytes() for s in hasher.shingles([words[k] for k in some])], pa.binary())], ["rep", "shingles"])
 
 
 def _links(sets: list[np.ndarray], left: int, threshold: float) -> np.ndarray:
     """Matrix of links between texts; with left > 0 only between the first `left` texts and the others."""
     n = len(sets)
-    sizes = np.array([len(s) for s in sets], dtype=np.float64)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
     flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), sizes.astype(np.int64))
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
     _, column, often = np.unique(flat, return_inverse=True, return_counts=True)
     shared = often[column] > 1
     # columns that only one text has add nothing to an intersection
@@ -201,9 +326,11 @@ def _links(sets: list[np.ndarray], left: int, threshold: float) -> np.ndarray:
         dense = np.zeros((n, width), dtype=np.float32)
         dense[owner[a:b], column[a:b] - start] = 1
         common += dense[rows] @ dense[cols].T
-    union = sizes[rows][:, None] + sizes[cols][None, :] - common
-    # in whole numbers: common / union >= threshold
-    linked = common * 1000 >= round(threshold * 1000) * union
+    linked = np.empty(common.shape, dtype=bool)
+    for a in range(0, len(common), 256):
+        c = common[a : a + 256].astype(np.int64)
+        # in whole numbers: common / union >= threshold
+        linked[a : a + 256] = c * 1000 >= round(threshold * 1000) * (sizes[rows][a : a + 256, None] + sizes[cols][None, :] - c)
     if not left:
         np.fill_diagonal(linked, False)
     return linked
@@ -233,11 +360,15 @@ def _verified(threshold: float):
         unit, rows = None, []
 
         def done() -> pa.RecordBatch | None:
-            rows.sort(key=lambda r: (r[0], r[1]))  # by block, then by text
-            left = sum(r[0] == unit[1] for r in rows) if rows and unit[1] < unit[2] else 0
-            if len(rows) < 2 or (unit[1] < unit[2] and left in (0, len(rows))):
+            if len(rows) < 2:
                 return None
-            linked = _links([r[3] for r in rows], left, threshold)
+            rows.sort(key=lambda r: (r[0], r[1]))  # by side, then by text
+            left = 0
+            if unit[1:3] != unit[3:5]:  # two blocks
+                left = sum(r[0] == 0 for r in rows)
+                if left in (0, len(rows)):
+                    return None
+            linked = _links([np.frombuffer(r[3], dtype=np.uint64) for r in rows], left, threshold)
             copies = np.array([r[2] for r in rows], dtype=np.int64)
             links = np.concatenate([linked @ copies[left:], copies[:left] @ linked]) if left else linked @ copies
             # the smallest text of a component may be in either block
@@ -249,70 +380,113 @@ def _verified(threshold: float):
             return pa.RecordBatch.from_arrays([pa.array(reps[some]), pa.array(lowest[root[some]]), pa.array(links[some].astype(np.int64))], ["rep", "root", "links"])
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                h, begins = shingles(*_word_arrays(part.column(6)))
-                keys = zip(*(part.column(k).to_pylist() for k in (0, 1, 2)))
-                meta = zip(*(part.column(k).to_pylist() for k in (3, 4, 5)))
-                for i, (key, (block, rep, copies)) in enumerate(zip(keys, meta)):
-                    if key != unit:
-                        if (out := done()) is not None:
-                            yield out
-                        unit, rows = key, []
-                    rows.append((block, rep, copies, np.unique(h[begins[i] : begins[i + 1]])))
+            keys = zip(*(batch.column(k).to_pylist() for k in range(5)))
+            for key, row in zip(keys, zip(*(batch.column(k).to_pylist() for k in range(5, 9)))):
+                if key != unit:
+                    if (out := done()) is not None:
+                        yield out
+                    unit, rows = key, []
+                rows.append(row)
         if (out := done()) is not None:
             yield out
 
     return run
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, n_links of every row: its class and how many other documents it is similar to."""
-    depth = needed_depth(threshold)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    words = docs.select("doc_id", words_of(F.lower(F.col("text"))).alias("w")).select("doc_id", "w", F.unhex(F.md5(F.array_join("w", " "))).alias("key"))
-    hashed = words.select("doc_id", "key", F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
-    signed = materialize(hashed.where(F.size("h") > 0).mapInArrow(_signed, "doc_id long, key binary, labels binary"), "signatures")
-    reps = materialize(signed.where(F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels")), "representatives")
-    cells = components(ties(reps, depth))
-    sizes = cells.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = cells.join(sizes, "root").select(F.col("node").alias("rep"), F.col("root").alias("cell"), blocks.alias("blocks"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = materialize(placed.join(reps.select("rep", "copies"), "rep"), "cells")
-    ids = F.broadcast(placed) if placed.count() <= BROADCAST_IDS else placed
-    texts = hashed.join(ids, hashed["doc_id"] == ids["rep"]).dropDuplicates(["rep"])
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = texts.select("cell", "blocks", "block", "rep", "copies", "h", other.alias("other"))
-    units = units.select("cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "copies", "h")
-    keys = ("cell", "low", "high")
-    checked = units.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verified(threshold), "rep long, root long, links long")
+UNIT = ("cell", "low_band", "low_block", "high_band", "high_block")
+
+
+def units(cells: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """(UNIT, side, rep, copies): every unit of comparison that each text takes part in."""
+    of = materialize(cells.select(F.col("node").alias("rep"), F.col("root").alias("cell")).join(reps.select("rep", "copies", "n"), "rep"), "cells")
+    size = of.groupBy("cell").agg((F.count(F.lit(1)) > BLOCK).alias("many"), (F.sum("n") > BLOCK_SHINGLES).alias("much"))
+    # sizes of similar sets differ by 1 / threshold at most, so by one band at most (the base leaves room for rounding)
+    band = F.when(F.col("many") | F.col("much"), F.floor(F.log(F.col("n")) / math.log(1.01 / threshold))).otherwise(0).cast("int")
+    of = of.join(size, "cell").select("rep", "cell", "copies", "n", band.alias("band"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    bands = materialize(of.groupBy("cell", "band").agg(blocks.alias("blocks")), "bands")
+    beside = lambda by, name: bands.select("cell", (F.col("band") + by).alias("band"), F.col("blocks").alias(name))
+    around = bands.join(beside(-1, "above"), ["cell", "band"], "left").join(beside(1, "below"), ["cell", "band"], "left")
+    of = of.join(around, ["cell", "band"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+
+    def each(count: str, unit) -> F.Column:
+        others = F.sequence(F.lit(0), F.greatest(F.coalesce(F.col(count), F.lit(0)), F.lit(1)) - 1)
+        made = F.transform(others, lambda o: F.struct(*[c.cast("int").alias(n) for c, n in zip(unit(o), (*UNIT[1:], "side"))]))
+        return F.when(F.col(count) > 0, made).otherwise(F.array().cast(f"array<struct<{','.join(f'{n}:int' for n in (*UNIT[1:], 'side'))}>>"))
+
+    band, block = F.col("band"), F.col("block")
+    own = each("blocks", lambda o: (band, F.least(block, o), band, F.greatest(block, o), F.when(block <= o, 0).otherwise(1)))
+    above = each("above", lambda o: (band, block, band + 1, o, F.lit(0)))
+    below = each("below", lambda o: (band - 1, o, band, block, F.lit(1)))
+    return of.select("cell", "rep", "copies", F.explode(F.concat(own, above, below)).alias("u")).select("cell", "u.*", "rep", "copies")
+
+
+def _bounded(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table, to be broadcast while it is known to be short."""
+    df = materialize(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, key, class_id, n_links, first of every row; first: its id and text are those that stand for its class."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    signed = materialize(docs.mapInArrow(_signed, "doc_id long, key binary, n long, labels binary"), "signatures")
+    grouped = signed.where(F.col("doc_id").isNotNull() & F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("labels").alias("labels"))
+    # numbers of the representatives are theirs alone; they are fixed once the table is written
+    reps = materialize(grouped.withColumn("rep", F.monotonically_increasing_id()), "representatives")
+    cells = components(ties(reps, threshold))
+    wanted = _bounded(cells.select(F.col("node").alias("rep")).join(reps.select("rep", "key", "least"), "rep"), "wanted")
+    sets = docs.join(wanted, docs["doc_id"] == wanted["least"]).select("rep", "key", "text").mapInArrow(_sets, "rep long, shingles binary").dropDuplicates(["rep"])
+    placed = units(cells, reps, threshold).join(sets, "rep").select(*UNIT, "side", "rep", "copies", "shingles")
+    checked = placed.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(_verified(threshold), "rep long, root long, links long")
     checked = materialize(checked, "links")
     linked = checked.groupBy("rep").agg(F.sum("links").alias("links"))
-    edges = checked.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct()
-    classes = components(edges).select(F.col("node").alias("rep"), F.col("root").alias("class"))
-    known = reps.select("key", "rep", "copies").join(linked, "rep", "left").join(classes, "rep", "left")
-    known = known.where((F.col("copies") > 1) | F.col("links").isNotNull())
-    known = known.select(F.col("key").alias("k"), F.coalesce("class", "rep").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"))
-    rows = signed.select("doc_id", "key").unionByName(docs.where(F.size(words_of(F.col("text"))) == 0).select("doc_id", F.lit(None).cast("binary").alias("key")))
-    return rows.join(known, F.col("key") == F.col("k"), "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
+    joined = components(checked.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct()).select(F.col("node").alias("rep"), "root")
+    known = reps.select("key", "rep", "least", "copies").join(linked, "rep", "left").join(joined, "rep", "left").where("copies > 1 or links is not null")
+    known = materialize(known.select("key", "least", F.coalesce("root", "rep").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "linked")
+    names = known.groupBy("root").agg(F.min(F.struct("least", "key")).alias("name"))
+    known = known.join(names, "root").select(F.col("key").alias("k"), "name", "links")
+    known = _bounded(known, "classes")
+    rows = signed.select("doc_id", "key").join(known, F.col("key") == F.col("k"), "left")
+    first = F.col("name").isNull() | ((F.col("doc_id") == F.col("name.least")) & (F.col("key") == F.col("name.key")))
+    return rows.select("doc_id", "key", F.coalesce("name.least", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), first.alias("first"))
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, n_links of every row: its class and how many other documents it is similar to."""
+    return classes(docs, threshold).select("doc_id", "class_id", "n_links")
 
 
-def _few(ids: DataFrame) -> DataFrame:
-    """A written list of ids, to be broadcast while it is known to be short."""
-    ids = materialize(ids, "ids")
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def _keyed(name: str):
+    """Each row with the key of its text as a last column of this name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [key_of(words_of_text(t)) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, name])
+
+    return run
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class, the one with the smallest id, with all its columns. Rows without an id all stay."""
-    joined = join(docs, threshold)
-    gone = _few(joined.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct())
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    twice = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1").select("_twice")
-    twice = _few(twice)
-    same = F.col("doc_id") == F.col("_twice")
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+    """One row of each class, that of the smallest id, with all its columns.
+
+    Rows without an id and rows without words all stay. Ids without any row that stands for its class go; of an id with
+    several rows, those stay that stand for a class, each text once.
+    """
+    rows = materialize(classes(docs, threshold).where("doc_id is not null"), "classes")
+    ids = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("first").alias("some"))
+    gone = _bounded(ids.where("not some").select("doc_id"), "gone")
+    twice = _bounded(ids.where("some and n > 1").select("doc_id"), "twice")
+    kept = docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    single = kept.join(twice, docs["doc_id"] == twice["doc_id"], "left_anti")
+    several = kept.join(twice, docs["doc_id"] == twice["doc_id"], "left_semi")
+    # the key's column gets a name that no input has
+    key = f"key_{uuid.uuid4().hex}"
+    keyed = several.mapInArrow(_keyed(key), StructType([*several.schema.fields, StructField(key, BinaryType())]))
+    firsts = rows.where("first and key is not null").select("doc_id", "key").distinct()
+    stay = keyed.join(firsts, (keyed["doc_id"] == firsts["doc_id"]) & (keyed[key] == firsts["key"]), "left_semi").dropDuplicates(["doc_id", key])
+    return single.unionByName(stay.drop(key)).unionByName(keyed.where(F.col(key).isNull()).drop(key))
 
 
 def op6_jaccard_join(spark, sf_dir) -> DataFrame:
