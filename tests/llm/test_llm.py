@@ -3,6 +3,7 @@ import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -166,7 +167,7 @@ def test_segments_against_brute_force():
 
 
 def test_toxic_passages_are_all_found_and_repeats_saturate():
-    model = toxicity.Model({"vile": 5.0, "scum": 4.0, "kind": -4.0}, 1.0, 0.1, 1.0, 0.0)
+    model = toxicity.Model({"vile": 9.5, "scum": 8.5, "kind": -4.0}, 1.0, 0.1, 1.0, 0.0)
     plain = ["so"] * 200
     passage = ["vile", "scum", "vile"]
     found, whole = model.scan(["vile", *plain, *passage, *plain, *passage], {})
@@ -174,9 +175,53 @@ def test_toxic_passages_are_all_found_and_repeats_saturate():
     evidence = lambda n: model.scan(["vile"] * n + plain[: 100 - n], {})[1]
     assert 0 < evidence(1) < evidence(2) < evidence(40) < 5 * (evidence(1) + 3)
     assert whole > model.scan([*passage, *plain, *plain], {})[1]
-    assert [(a, b) for a, b, _ in model.scan(["vile", *["kind"] * 2, "vile"], {})[0]] == [(0, 1), (3, 4)]
-    odds = toxicity.log_odds([("mild", 60, 5), ("calm", 5, 60), ("flat", 50, 50)], 1000, 1000)
-    assert set(odds) == {"mild", "calm"} and odds["calm"] < 0 < odds["mild"] < 3
+    assert [(a, b) for a, b, _ in model.scan(["vile", *["kind"] * 3, "vile"], {})[0]] == [(0, 1), (4, 5)]
+    assert model.scan(["mild"], {}) == ([], 0.0) and model.scan([], {}) == ([], 0.0)
+
+
+def test_log_odds_by_hand():
+    p, whole = toxicity.PRIOR, 0.1
+    odds = toxicity.log_odds({"mildly": (60, 5), "mildl*": (90, 5), "calm": (0, 60), "flat": (10, 90), "rare": (2, 0)}, 100, 900)
+    prefix = (30 + p * whole) / (30 + p)
+    share = (60 + p * prefix) / (65 + p)
+    assert set(odds) == {"mildly", "mildl*", "calm", "flat"} and odds["mildly"] == pytest.approx(np.log(share / (1 - share)) - np.log(1 / 9))
+    # zero counts count, on either side
+    share = p * whole / (60 + p)
+    assert odds["calm"] == pytest.approx(np.log(share / (1 - share)) - np.log(1 / 9)) and odds["flat"] == pytest.approx(0)
+
+
+def test_extreme_values_against_theory():
+    """For independent scores lambda is the positive root of E exp(lambda s) = 1, and the fit has the right tail."""
+    rng = np.random.default_rng(3)
+    values, p = np.array([-1.0, -0.3, 1.1, 2.0]), np.array([0.5, 0.35, 0.1, 0.05])
+    lo, hi = 0.01, 5.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if (p * np.exp(mid * values)).sum() < 1 else (lo, mid)
+    lengths = rng.integers(300, 3000, 1500)
+    highest = [(int(n), toxicity.rise(rng.choice(values, n, p=p))) for n in lengths]
+    lam, k = toxicity.extreme_values(highest)
+    assert lam == pytest.approx(lo, rel=0.08)
+    over = lambda q: np.mean([k * n * np.exp(-lam * s) < q for n, s in highest])
+    assert over(0.1) == pytest.approx(1 - np.exp(-0.1), abs=0.03) and over(1.0) == pytest.approx(1 - np.exp(-1.0), abs=0.05)
+    assert toxicity.extreme_values([]) == (1.0, 1.0)
+
+
+def test_chance_segments_are_rejected_and_toxic_documents_found(spark, fixture_dir):
+    docs, labels = read_table(spark, fixture_dir, "documents"), read_table(spark, fixture_dir, "labels")
+    model = toxicity.fit(docs, labels)
+    held = docs.join(labels.where("crc32(cast(doc_id as string)) % 3 = 1"), "doc_id").select("text", "toxic").collect()
+    memory, positive, significant, right = {}, 0, 0, Counter()
+    for text, toxic in held:
+        words = toxicity.WORD.findall((text or "").lower())
+        found, evidence = model.scan(words, memory)
+        right[toxic, model.score(evidence) >= toxicity.THRESHOLD] += 1
+        if not toxic:
+            positive += len(toxicity.segments(model.values(words, memory).tolist()))
+            significant += len(found)
+    assert significant < 0.01 * positive
+    # recall and precision
+    assert right[1, True] >= 0.9 * (right[1, True] + right[1, False]) and right[1, True] >= 0.97 * (right[1, True] + right[0, True])
 
 
 @pytest.fixture(scope="module")

@@ -70,11 +70,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """(doc_id, text, label): at most per_class labelled documents of each class, chosen by a hash of the id.
 
     per_class bounds everything that is fitted from the sample. Rows that are held out, have a null label or id, or
-    labels of ids that docs lacks, do not take part. A repeated id counts once, with its largest label.
+    labels of ids that docs lacks, do not take part; nor do ids with both labels or with several texts. Repeated equal
+    rows count once.
     """
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
-        .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+        .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"), F.min(label).cast("int").alias("least")).where("label = least").drop("least")
     )
     order = F.xxhash64("doc_id")
     chosen = None
@@ -82,4 +83,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         part = ids.where(F.col("label") == value).orderBy(order, "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     # at most 2 * per_class rows of 12 bytes: a broadcast of proven size
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("text").alias("other"), F.first("label").alias("label"))
+    return found.where("text = other").select("doc_id", "text", "label")

@@ -1,24 +1,26 @@
 """Toxic passages as maximal scoring segments over token log-odds.
 
-Fitting. Over a bounded labelled sample (PER_CLASS documents of each class, distinct texts), each token's share of toxic
-and of other documents is smoothed by a Dirichlet prior and gives a log-odds score. A token counts by itself and by its
-prefixes; an unseen word takes the score of its longest prefix that has one, so inflected forms of a toxic stem are
-found. Tokens whose log-odds, positive or negative, are neither large nor sure score -DRIFT, which makes the mean score
-negative.
-
-Scan. All maximal scoring segments of a text are found in one linear pass over its scores. Extreme-value statistics of
-such segments (lambda and K fitted to the token scores of the documents labelled 0) turn a segment of score S in a text
-of n tokens into an expected number K n exp(-lambda S) of equally good chance segments; segments with less than
-MAX_EXPECTED are significant: these are the passages. A document's evidence is found in the same way from scores in which
-the k-th mention of a toxic word counts 1/k, the strongest passage first, so repeats add ever less: the sum over the
-significant segments of lambda S - ln(K n). A logistic curve fitted to the sample turns the evidence into a score between 0 and 1.
-
-Only the text enters a score. The model is a few thousand tokens (MAX_TOKENS at most); workers memorise the scores of
-words they have met, up to a bound.
+Fitting. Over a bounded labelled sample (PER_CLASS documents of each class, distinct texts), documents that hold a token
+are counted by label. A token's share of toxic documents has a Dirichlet prior of weight PRIOR whose mean is the share of
+the other documents of its longest known prefix, smoothed in the same way towards the share of the whole sample; so rare
+forms lean on their stem. A token's score is the log-odds of its share less those of the sample, positive or negative, less DRIFT, which makes the
+mean score negative. Tokens and prefixes of under LEAST_DOCS documents take the score of the longest prefix that has one.
+
+Scan. All maximal scoring segments of a text are found in one linear pass over its scores. The k-th mention of a word with
+a positive score counts 1/k within a segment, so its score is that of the best stretch that is left.
+
+Calibration. The highest segment of a text of n tokens follows an extreme-value law: it stays under S with probability
+exp(-K n exp(-lambda S)). lambda and K are fitted by maximum likelihood to the highest segments of the documents labelled
+0, each scored by a model of the other half of the sample. A segment of score S in a text of n tokens then stands against
+K n exp(-lambda S) equally good chance segments. Segments with less than REPORTED of these are the passages. A document's
+evidence is the sum over its segments with less than MAX_EXPECTED, the strongest first, of lambda S - ln(K n), where
+mentions in stronger ones count as well among the k, so repeats add ever less. A logistic curve, fitted to the halves in the same way, turns the evidence into a score between 0 and 1.
+
+Only the text enters a score. Workers memorise the scores of words they have met, up to a bound.
 
 Defined results: null and empty texts have no segments and get the score of no evidence; repeated rows score alike;
-ties between segments keep text order; an empty table or a sample with one class or none gives the constant score 0
-for a class 1 that was never seen; extra columns are ignored.
+an id with several texts, or a text with both labels, is left out of the sample; ties between segments keep text order; an
+empty table or a sample with one class or none gives a constant score next to 0; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,13 +39,13 @@ from pyspark.sql import functions as F
 from .common import held_out, labelled_sample, read_table
 
 PER_CLASS = 3000
-MAX_TOKENS = 50_000
 PREFIXES = (6, 5, 4)
-#: A token carries a score of its own from this log-odds and this many standard errors on.
-LEAST_ODDS, LEAST_Z = 2.0, 3.0
-PRIOR = 0.5
-DRIFT = 0.1
-MAX_EXPECTED = 1.0
+#: A token or prefix has a score of its own from so many documents on.
+LEAST_DOCS = 5
+PRIOR = 10.0
+DRIFT = 0.5
+#: Segments that chance gives less often count as evidence, and those that it gives far less often are reported.
+MAX_EXPECTED, REPORTED = 1.0, 0.01
 THRESHOLD = 0.7
 MEMORY = 300_000
 WORD = re.compile(r"[^\W_]+")
@@ -82,6 +84,23 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, r - l) for a, b, l, r, _ in found]
 
 
+def rise(values: np.ndarray) -> float:
+    """The score of the highest segment, without damping; 0 where no score is positive."""
+    total = np.concatenate([[0.0], np.cumsum(values)])
+    return float((total - np.minimum.accumulate(total)).max())
+
+
+def damped(words: list[str], values: list[float], said: Counter) -> list[float]:
+    """The scores with the k-th mention of a word at 1/k of a positive score; `said` counts mentions, here as well."""
+    out = []
+    for w, v in zip(words, values):
+        if v > 0:
+            said[w] += 1
+            v /= said[w]
+        out.append(v)
+    return out
+
+
 class Model:
     """Scores of features, extreme-value parameters and the calibration curve."""
 
@@ -94,69 +113,89 @@ class Model:
     def of_word(self, word: str) -> float:
         for f in features(word):
             if f in self.scores:
-                return self.scores[f]
+                return self.scores[f] - DRIFT
         return -DRIFT
 
-    def scan(self, words: list[str], memory: dict[str, float]) -> tuple[list[tuple[int, int, float]], float]:
-        """Significant segments (first word, end, evidence), and the evidence of the text."""
+    def values(self, words: list[str], memory: dict[str, float]) -> np.ndarray:
         if len(memory) > MEMORY:
             memory.clear()
         new = set(words).difference(memory)
         memory.update(zip(new, map(self.of_word, new)))
-        values = [*map(memory.__getitem__, words)]
-        if not values or max(values) <= 0:
+        return np.fromiter(map(memory.__getitem__, words), dtype=np.float64, count=len(words))
+
+    def above(self, words: list[str], memory: dict[str, float], least: float) -> list[tuple[float, int, int]]:
+        """(score, first word, end) of the maximal segments that score over `least`, with repeats damped."""
+        values = self.values(words, memory)
+        if rise(values) <= least:
+            return []
+        listed = values.tolist()
+        out = []
+        for a, b, s in segments(listed):
+            if s > least and (best := max((x for _, _, x in segments(damped(words[a:b], listed[a:b], Counter()))), default=0.0)) > least:
+                out.append((best, a, b))
+        return out
+
+    def scan(self, words: list[str], memory: dict[str, float]) -> tuple[list[tuple[int, int, float]], float]:
+        """Passages (first word, end, evidence), and the evidence of the text."""
+        if not words:
             return [], 0.0
         chance = math.log(self.k * len(words))
-        least = chance - math.log(MAX_EXPECTED)
-        found = [(a, b, self.lam * s - chance) for a, b, s in segments(values) if self.lam * s > least]
-        if not found:
-            return [], 0.0
+        least = max(0.0, (chance - math.log(MAX_EXPECTED)) / self.lam)
+        found = self.above(words, memory, least)
         said: Counter = Counter()
         whole = 0.0
         # the strongest passage first, so a mention elsewhere does not weaken it
-        for a, b, _ in sorted(found, key=lambda x: (-x[2], x[0])):
-            damped = values[a:b]
-            for i, v in enumerate(damped):
-                if v > 0:
-                    said[words[a + i]] += 1
-                    damped[i] = v / said[words[a + i]]
-            whole += sum(self.lam * s - chance for _, _, s in segments(damped) if self.lam * s > least)
-        return found, whole
+        for _, a, b in sorted(found, key=lambda x: (-x[0], x[1])):
+            left = damped(words[a:b], [memory[w] for w in words[a:b]], said)
+            whole += sum(self.lam * s - chance for _, _, s in segments(left) if s > least)
+        return [(a, b, self.lam * s - chance) for s, a, b in found if self.lam * s - chance > -math.log(REPORTED)], whole
+
+    def highest(self, words: list[str], memory: dict[str, float]) -> float:
+        return max((s for s, _, _ in self.above(words, memory, 0.0)), default=0.0)
 
     def score(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * math.log1p(max(0.0, evidence)) + self.intercept))))
 
 
-def log_odds(counts: list[tuple[str, int, int]], toxic: int, other: int) -> dict[str, float]:
-    """Scores of the features in (feature, toxic documents, other documents) that are large and sure enough."""
+def log_odds(counts: dict[str, tuple[int, int]], toxic: int, other: int) -> dict[str, float]:
+    """Log-odds of features, less those of the sample, from the toxic and the other documents that hold them."""
+    sample = toxic / (toxic + other)
+    known = {f: n for f, n in counts.items() if sum(n) >= LEAST_DOCS}
     out = {}
-    for f, a, b in counts:
-        odds = math.log((a + PRIOR) / (toxic - a + PRIOR)) - math.log((b + PRIOR) / (other - b + PRIOR))
-        if abs(odds) >= LEAST_ODDS and abs(odds) >= LEAST_Z * math.sqrt(1 / (a + PRIOR) + 1 / (b + PRIOR)):
-            out[f] = odds
-    return dict(sorted(out.items(), key=lambda x: (-abs(x[1]), x[0]))[:MAX_TOKENS])
+    for f, (a, b) in known.items():
+        above = next((g for g in features(f.rstrip("*"))[1:] if g != f and g in known), None)
+        # the prefix without this feature's own documents, so that none counts twice
+        x, y = (max(0, n - m) for n, m in zip(known[above], (a, b))) if above else (0, 0)
+        prior = (x + PRIOR * sample) / (x + y + PRIOR)
+        share = (a + PRIOR * prior) / (a + b + PRIOR)
+        out[f] = math.log(share / (1 - share)) - math.log(toxic / other)
+    return out
 
 
-def extreme_values(values: Counter, tokens: int) -> tuple[float, float]:
-    """(lambda, K) of the chance model in which tokens take the counted scores independently.
+def extreme_values(highest: list[tuple[int, float]]) -> tuple[float, float]:
+    """(lambda, K) by maximum likelihood from (tokens, highest segment's score) of chance texts; 0 where none is positive.
 
-    lambda solves sum p exp(lambda s) = 1; K is taken from the score scale's lower bound, the chance of a rise, which
-    keeps expected numbers on the safe side.
+    For a given lambda the best K has a closed form; lambda is found by golden sections of the likelihood.
     """
-    total = max(1, tokens) + 1
-    p = {s: (n + PRIOR) / total for s, n in values.items()}
-    rest = 1 - sum(p.values())
-    f = lambda lam: rest * math.exp(-lam * DRIFT) + sum(q * math.exp(lam * s) for s, q in p.items()) - 1
-    rise = sum(q for s, q in p.items() if s > 0)
-    if not rise or f(1e-6) >= 0:
+    n = np.array([x for x, _ in highest if x > 0], dtype=float)
+    top = np.array([s for x, s in highest if x > 0], dtype=float)
+    some = top > 0
+    if some.sum() < 2:
         return 1.0, 1.0
-    lo, hi = 1e-6, 1.0
-    while f(hi) < 0 and hi < 64:
-        lo, hi = hi, 2 * hi
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
-    return lo, max(rise, 1e-6)
+
+    def best_k(lam: float) -> float:
+        return float(some.sum() / np.where(some, n * np.exp(-lam * top), n).sum())
+
+    def likelihood(lam: float) -> float:
+        k = best_k(lam)
+        return float((math.log(k * lam) - lam * top[some]).sum() - k * np.where(some, n * np.exp(-lam * top), n).sum())
+
+    lo, hi, golden = math.log(1e-3), math.log(50.0), (math.sqrt(5) - 1) / 2
+    for _ in range(80):
+        a, b = hi - golden * (hi - lo), lo + golden * (hi - lo)
+        lo, hi = (a, hi) if likelihood(math.exp(a)) < likelihood(math.exp(b)) else (lo, b)
+    lam = math.exp((lo + hi) / 2)
+    return lam, best_k(lam)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -172,31 +211,26 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(feature, toxic, other) of the documents of a partition."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    n = Counter()
+    """(feature, half, label, documents) of the documents of a partition; the empty feature counts all of them."""
+    counts: dict[tuple[int, int], Counter] = {(h, y): Counter() for h in (0, 1) for y in (0, 1)}
     for batch in batches:
-        for text, label in zip(*(c.to_pylist() for c in batch.columns)):
-            counts[label].update(set(chain.from_iterable(map(features, set(WORD.findall((text or "").lower()))))))
-            n[label] += 1
-    keys = [*set(counts[0]) | set(counts[1])]
-    yield pa.RecordBatch.from_arrays([pa.array(["", *keys]), pa.array([n[1], *(counts[1][k] for k in keys)], pa.int64()), pa.array([n[0], *(counts[0][k] for k in keys)], pa.int64())], ["feature", "toxic", "other"])
+        for text, label, half in zip(*(c.to_pylist() for c in batch.columns)):
+            counts[half, label].update({"", *chain.from_iterable(map(features, set(WORD.findall((text or "").lower()))))})
+    for (half, label), c in counts.items():
+        yield pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), pa.array([half] * len(c), pa.int32()), pa.array([label] * len(c), pa.int32()), pa.array(c.values(), pa.int64())], ["feature", "half", "label", "n"])
 
 
-def _evidence(shared):
-    """(label, evidence, words, scores' counts) of each document of the sample."""
+def _crossed(shared, found):
+    """What `found` gives for each document of the sample by the model of the other half: (label, words, value)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, memory = Model(*shared.value), {}
+        models, memories = [Model(*state) for state in shared.value], [{}, {}]
         for batch in batches:
-            labels, evidence, lengths, values = [], [], [], []
-            for text, label in zip(*(c.to_pylist() for c in batch.columns)):
+            rows = []
+            for text, label, half in zip(*(c.to_pylist() for c in batch.columns)):
                 words = WORD.findall((text or "").lower())
-                labels.append(label)
-                evidence.append(model.scan(words, memory)[1])
-                lengths.append(len(words))
-                values.append([s for s in map(memory.__getitem__, words) if s != -DRIFT])
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(evidence, pa.float64()), pa.array(lengths, pa.int64()), pa.array(values, pa.list_(pa.float64()))], ["label", "evidence", "n", "hits"])
+                rows.append((label, len(words), found(models[1 - half], words, memories[1 - half])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int32(), pa.int64(), pa.float64()))], ["label", "words", "value"])
 
     return run
 
@@ -205,31 +239,31 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     from .common import materialize
 
     spark = docs.sparkSession
-    sample = materialize(labelled_sample(docs, labels, label, per_class).dropDuplicates(["text"]).select("text", "label"), "toxic-sample")
-    counted = sample.mapInArrow(_partial_counts, "feature string, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    # Bounded: features come from at most 2 * PER_CLASS documents, and those that too few documents hold can
-    # not reach the least odds; the rest are ranked and cut at MAX_TOKENS before they are collected.
-    whole = counted.where("feature = ''").toPandas()
-    toxic, other = (int(whole["toxic"].iloc[0]), int(whole["other"].iloc[0])) if len(whole) else (0, 0)
-    if not toxic or not other:
+    # one row for each text of the sample, without texts of both labels
+    texts = labelled_sample(docs, labels, label, per_class).groupBy("text").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most")
+    sample = materialize(texts.select("text", "label", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half")), "toxic-sample")
+    counted = sample.mapInArrow(_partial_counts, "feature string, half int, label int, n long").groupBy("feature").agg(
+        *[F.coalesce(F.sum(F.when((F.col("half") == h) & (F.col("label") == y), F.col("n"))), F.lit(0)).alias(f"n{h}{y}") for h in (0, 1) for y in (0, 1)], F.sum("n").alias("docs")
+    )
+    # bounded by the sample: the features that LEAST_DOCS of its documents hold
+    rows = counted.where((F.col("docs") >= LEAST_DOCS) | (F.col("feature") == "")).collect()
+    whole = next((r for r in rows if r["feature"] == ""), None)
+    if whole is None or min(whole["n01"], whole["n11"], whole["n00"], whole["n10"]) == 0:
         return Model({}, 1.0, 1.0, 0.0, -30.0)
-    odds = F.log((F.col("toxic") + PRIOR) / (toxic - F.col("toxic") + PRIOR)) - F.log((F.col("other") + PRIOR) / (other - F.col("other") + PRIOR))
-    error = F.sqrt(1 / (F.col("toxic") + PRIOR) + 1 / (F.col("other") + PRIOR))
-    strong = counted.where("feature <> ''").where((F.abs(odds) >= LEAST_ODDS - 1e-6) & (F.abs(odds) >= (LEAST_Z - 1e-6) * error)).orderBy(F.abs(odds).desc(), "feature").limit(MAX_TOKENS)
-    model = Model(log_odds([(r["feature"], r["toxic"], r["other"]) for r in strong.collect()], toxic, other), 1.0, 1.0, 0.0, 0.0)
-    ddl = "label int, evidence double, n long, hits array<double>"
-
-    def measured(m: Model):
-        shared = spark.sparkContext.broadcast(m.state())
-        return sample.mapInArrow(_evidence(shared), ddl)
-
-    chance = measured(model).where("label = 0").cache()
-    values = chance.select(F.explode("hits").alias("s")).groupBy("s").count().collect()
-    tokens = chance.agg(F.sum("n")).first()[0] or 0
-    chance.unpersist()
-    model.lam, model.k = extreme_values(Counter({s: 0 for s in model.scores.values()}) | Counter({r["s"]: r["count"] for r in values}) or Counter(), tokens)
-    known = measured(model).select("label", "evidence").toPandas()
-    model.slope, model.intercept = _logistic(np.log1p(known["evidence"].to_numpy()), known["label"].to_numpy(dtype=float))
+
+    def scores(of) -> dict[str, float]:
+        return log_odds({r["feature"]: of(r) for r in rows if r["feature"]}, *of(whole))
+
+    halves = [scores(lambda r, h=h: (r[f"n{h}1"], r[f"n{h}0"])) for h in (0, 1)]
+    model = Model(scores(lambda r: (r["n01"] + r["n11"], r["n00"] + r["n10"])), 1.0, 1.0, 0.0, 0.0)
+
+    def crossed(found) -> DataFrame:
+        shared = spark.sparkContext.broadcast([(x, model.lam, model.k, 0.0, 0.0) for x in halves])
+        return sample.mapInArrow(_crossed(shared, found), "label int, words long, value double")
+
+    model.lam, model.k = extreme_values([(r["words"], r["value"]) for r in crossed(Model.highest).where("label = 0").collect()])
+    known = crossed(lambda m, words, memory: m.scan(words, memory)[1]).select("label", "value").toPandas()
+    model.slope, model.intercept = _logistic(np.log1p(known["value"].to_numpy()), known["label"].to_numpy(dtype=float))
     return model
 
 
