@@ -1,11 +1,18 @@
 """Quality rules whose thresholds adapt to each language and source. DataFrame functions only.
 
 One pass computes the base counts of every text and stores them (eight numbers a row). A mergeable quantile sketch of
-each rule's ratio is kept for every (lang, source): counts in log-linear buckets (five significant bits, so a quantile
-is off by at most 1/16 of its value, at any size and in any merge order). Sketches are summed with map-side
+each rule's ratio is kept for every (lang, source): counts in log-linear buckets (BITS significant bits, so a quantile
+is off by less than 1/128 of its value, at any size and in any merge order). Sketches are summed with map-side
 combination, so a hot source is one partial row per bucket and task. Quantiles of the sketches give the thresholds,
 which are joined to the stored numbers; texts are never shuffled.
 
+Most texts have no symbol, repeated line or repeated word at all, so plain ratios have no spread. A ratio goes into the
+sketch with one occurrence more (of UNIT size) than the text has, in a text that much longer: what a text of this length
+may have by chance. A threshold lies FENCE interquartile ranges above the third quartile of these, so it follows the
+lengths and the habits of its group: groups of short texts, or with many such marks, get higher thresholds than others.
+It is drawn to the language's threshold, and that to the whole table's, with the weight of PRIOR_ROWS rows; no number of
+rows switches anything. A text fails only if its ratio with one occurrence less lies above the threshold.
+
 Defined results: a null text has no words and fails the base rules; a null language or source is a group of its own;
 repeated rows are judged each on its own and come out as often as they went in; ties fall in the same bucket; an empty
 table gives an empty result; further input columns are ignored.
@@ -20,17 +27,19 @@ from .common import SPACE, let, materialize, words_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
-#: Rules: name -> (numerator, denominator, parts a unit, slack in parts). A ratio is counted in whole parts.
+#: Rules: name -> (numerator, denominator, parts, unit). A ratio is counted in whole parts; the unit is the size of one
+#: occurrence: a mark of three characters, a line, a window that is found twice.
 RULES = {
-    "symbols": ("n_symbols", "n_words", 1000, 150),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 500),
-    "repeats": ("n_repeat_words", "n_words", 1000, 200),
-    "word_length": ("word_chars", "n_words", 100, 400),
+    "symbols": ("n_symbols", "n_words", 10_000, 3),
+    "dup_lines": ("n_dup_lines", "n_lines", 10_000, 1),
+    "repeats": ("n_repeat_words", "n_words", 10_000, 10),
+    "word_length": ("word_chars", "n_words", 1000, 0),
 }
-#: A threshold lies this many interquartile ranges above the third quartile, plus the rule's slack.
-FENCE = 3
-#: Groups of fewer rows use the sketch of their language, and such languages that of the whole table.
-MIN_GROUP = 100
+FENCE = 5
+PRIOR_ROWS = 50
+#: Significant bits of a bucket.
+BITS = 8
+HALF = 1 << (BITS - 1)
 #: A threshold table of at most this many rows (some 60 bytes each) may be broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -89,27 +98,34 @@ def base_counts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "sou
     )
 
 
-def _parts(rule: str) -> Column:
-    over, under, parts, _ = RULES[rule]
-    return F.when(F.col(under) > 0, F.expr(f"{parts} * {over} div {under}")).otherwise(F.lit(0)).cast("bigint")
+def _with_one(rule: str) -> Column:
+    """The ratio with one occurrence more, in whole parts."""
+    over, under, parts, unit = RULES[rule]
+    return F.when(F.col(under) + unit > 0, F.expr(f"{parts} * ({over} + {unit}) div ({under} + {unit})")).otherwise(F.lit(0)).cast("bigint")
+
+
+def _without_one(rule: str) -> Column:
+    """The ratio with one occurrence less, in whole parts."""
+    over, under, parts, unit = RULES[rule]
+    return F.when(F.col(under) > 0, F.expr(f"{parts} * greatest({over} - {unit}, 0) div {under}")).otherwise(F.lit(0)).cast("bigint")
 
 
 def bucket_of(x: Column) -> Column:
-    """Index of the log-linear bucket of a whole number: exact below 32, then 16 buckets for each doubling."""
-    drop = F.length(F.bin(x)) - 5
-    return F.when(x < 32, x).otherwise(drop * 16 + F.expr("0") + F.call_function("shiftright", x, drop)).cast("bigint")
+    """Index of the log-linear bucket of a whole number: exact below 2**BITS, then HALF buckets for each doubling."""
+    drop = F.length(F.bin(x)) - BITS
+    return F.when(x < 2 * HALF, x).otherwise(drop * HALF + F.call_function("shiftright", x, drop)).cast("bigint")
 
 
 def bucket_top(b: Column) -> Column:
     """Largest number that falls in a bucket."""
-    drop = F.greatest(F.floor(b / 16) - 1, F.lit(0)).cast("int")
-    mantissa = b - drop * 16
-    return F.when(b < 32, b).otherwise(F.call_function("shiftleft", mantissa + 1, drop) - 1).cast("bigint")
+    drop = F.greatest(F.floor(b / HALF) - 1, F.lit(0)).cast("int")
+    mantissa = b - drop * HALF
+    return F.when(b < 2 * HALF, b).otherwise(F.call_function("shiftleft", mantissa + 1, drop) - 1).cast("bigint")
 
 
 def sketches(counts: DataFrame) -> DataFrame:
     """(lang, source, rule, bucket, n): the mergeable sketches, over rows that pass the base rules."""
-    values = F.array(*[F.struct(F.lit(r).alias("rule"), bucket_of(_parts(r)).alias("bucket")) for r in RULES])
+    values = F.array(*[F.struct(F.lit(r).alias("rule"), bucket_of(_with_one(r)).alias("bucket")) for r in RULES])
     return (
         counts.where(~F.col("base_failed"))
         .select("lang", "source", F.explode(values).alias("v"))
@@ -128,15 +144,14 @@ def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source, one limit for each rule): the adaptive threshold, with back-off for small groups."""
-    slack = F.create_map(*[F.lit(x) for r, v in RULES.items() for x in (r, v[3])])
-    limit = lambda d: d.withColumn("limit", F.col("q3") + FENCE * (F.col("q3") - F.col("q1")) + slack[F.col("rule")]).drop("q1", "q3")
+    """(lang, source, one limit for each rule): the adaptive threshold, drawn to that of the language and of the table."""
+    limit = lambda d: d.withColumn("limit", F.col("q3") + FENCE * (F.col("q3") - F.col("q1"))).drop("q1", "q3")
     own = limit(quartiles(sketch, ["lang", "source"]))
     lang = limit(quartiles(sketch, ["lang"])).select(F.col("lang").alias("l2"), F.col("rule").alias("r2"), F.col("rows").alias("n2"), F.col("limit").alias("limit2"))
     whole = limit(quartiles(sketch, [])).select(F.col("rule").alias("r3"), F.col("limit").alias("limit3"))
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("rule") == F.col("r2"))).join(whole, F.col("rule") == F.col("r3"))
-    best = F.when(F.col("rows") >= MIN_GROUP, F.col("limit")).when(F.col("n2") >= MIN_GROUP, F.col("limit2")).otherwise(F.col("limit3"))
-    return joined.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == r, best)).alias(f"max_{r}") for r in RULES])
+    drawn = F.expr(f"(rows * `limit` + {PRIOR_ROWS} * ((n2 * limit2 + {PRIOR_ROWS} * limit3) div (n2 + {PRIOR_ROWS}))) div (rows + {PRIOR_ROWS})")
+    return joined.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == r, drawn)).alias(f"max_{r}") for r in RULES])
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -148,7 +163,7 @@ def judge(docs: DataFrame) -> DataFrame:
         other = F.broadcast(other)
     out = counts.join(other, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_l", "_s")
     for r in RULES:
-        out = out.withColumn(f"parts_{r}", _parts(r))
+        out = out.withColumn(f"parts_{r}", _without_one(r))
     fine = ~F.col("base_failed")
     for r in RULES:
         fine = fine & F.coalesce(F.col(f"parts_{r}") <= F.col(f"max_{r}"), F.lit(True))
@@ -163,21 +178,22 @@ def op10_quality_rules(spark, sf_dir) -> DataFrame:
 
 def _oracle() -> str:
     """The same counts, sketches and verdicts in DuckDB's SQL."""
-    parts = {r: f"CASE WHEN {u} > 0 THEN {p} * {o} // {u} ELSE 0 END" for r, (o, u, p, _) in RULES.items()}
-    bucket = lambda x: f"CASE WHEN {x} < 32 THEN {x} ELSE (length(bin({x})) - 5) * 16 + ({x} >> (length(bin({x})) - 5)) END"
-    values = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rule, {bucket('p_' + r)} AS bucket FROM c WHERE NOT base_failed" for r in RULES)
-    top = "CASE WHEN bucket < 32 THEN bucket ELSE ((bucket - (bucket // 16 - 1) * 16 + 1) << (bucket // 16 - 1)::INTEGER) - 1 END"
-    slack = "CASE rule " + " ".join(f"WHEN '{r}' THEN {v[3]}" for r, v in RULES.items()) + " END"
+    more = {r: f"CASE WHEN {u} + {x} > 0 THEN {p} * ({o} + {x}) // ({u} + {x}) ELSE 0 END" for r, (o, u, p, x) in RULES.items()}
+    less = {r: f"CASE WHEN {u} > 0 THEN {p} * greatest({o} - {x}, 0) // {u} ELSE 0 END" for r, (o, u, p, x) in RULES.items()}
+    bucket = lambda x: f"CASE WHEN {x} < {2 * HALF} THEN {x} ELSE (length(bin({x})) - {BITS}) * {HALF} + ({x} >> (length(bin({x})) - {BITS})) END"
+    values = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rule, {bucket('m_' + r)} AS bucket FROM c WHERE NOT base_failed" for r in RULES)
+    top = f"CASE WHEN bucket < {2 * HALF} THEN bucket ELSE ((bucket - (bucket // {HALF} - 1) * {HALF} + 1) << (bucket // {HALF} - 1)::INTEGER) - 1 END"
 
     def level(name: str, by: str) -> str:
         keys = "".join(f"{k}, " for k in by.split())
         return (
-            f"{name}_run AS (SELECT {keys}rule, bucket, sum(n) OVER (PARTITION BY {keys}rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}rule) AS rows_ FROM (SELECT {keys}rule, bucket, sum(n)::BIGINT AS n FROM sk GROUP BY ALL)), "
-            f"{name} AS (SELECT {keys}rule, rows_, q3 + {FENCE} * (q3 - q1) + {slack} AS lim FROM (SELECT {keys}rule, max(rows_) AS rows_, min(CASE WHEN 4 * upto >= rows_ THEN {top} END) AS q1, min(CASE WHEN 4 * upto >= 3 * rows_ THEN {top} END) AS q3 FROM {name}_run GROUP BY ALL))"
+            f"{name}_run AS (SELECT {keys}rule, bucket, (sum(n) OVER (PARTITION BY {keys}rule ORDER BY bucket))::BIGINT AS upto, (sum(n) OVER (PARTITION BY {keys}rule))::BIGINT AS rows_ FROM (SELECT {keys}rule, bucket, sum(n)::BIGINT AS n FROM sk GROUP BY ALL)), "
+            f"{name} AS (SELECT {keys}rule, rows_, q3 + {FENCE} * (q3 - q1) AS lim FROM (SELECT {keys}rule, max(rows_) AS rows_, min(CASE WHEN 4 * upto >= rows_ THEN {top} END) AS q1, min(CASE WHEN 4 * upto >= 3 * rows_ THEN {top} END) AS q3 FROM {name}_run GROUP BY ALL))"
         )
 
     verdict = " AND ".join(f"coalesce(p_{r} <= max_{r}, true)" for r in RULES)
-    limits = ", ".join(f"max(CASE WHEN own.rule = '{r}' THEN CASE WHEN own.rows_ >= {MIN_GROUP} THEN own.lim WHEN bylang.rows_ >= {MIN_GROUP} THEN bylang.lim ELSE whole.lim END END) AS max_{r}" for r in RULES)
+    drawn = f"((own.rows_ * own.lim + {PRIOR_ROWS} * ((bylang.rows_ * bylang.lim + {PRIOR_ROWS} * whole.lim) // (bylang.rows_ + {PRIOR_ROWS}))) // (own.rows_ + {PRIOR_ROWS}))::BIGINT"
+    limits = ", ".join(f"max(CASE WHEN own.rule = '{r}' THEN {drawn} END) AS max_{r}" for r in RULES)
     return f"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
              list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, row_number() OVER () AS rid FROM documents),
@@ -186,7 +202,7 @@ hit AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, g) A
 rep AS (SELECT rid, count(DISTINCT p + k) AS r FROM hit, (SELECT unnest(range(5)) AS k) GROUP BY rid),
 b AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words FROM t LEFT JOIN rep USING (rid)),
-c AS (SELECT *, {", ".join(f"{v} AS p_{r}" for r, v in parts.items())}, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b),
+c AS (SELECT *, {", ".join(f"{v} AS m_{r}" for r, v in more.items())}, {", ".join(f"{v} AS p_{r}" for r, v in less.items())}, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b),
 sk AS (SELECT lang, source, rule, bucket, count(*) AS n FROM ({values}) GROUP BY ALL),
 {level("own", "lang source")}, {level("bylang", "lang")}, {level("whole", "")},
 lim AS (SELECT own.lang, own.source, {limits} FROM own JOIN bylang ON own.lang IS NOT DISTINCT FROM bylang.lang AND own.rule = bylang.rule JOIN whole ON own.rule = whole.rule GROUP BY own.lang, own.source)
