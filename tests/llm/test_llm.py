@@ -412,6 +412,30 @@ def test_decontamination_tolerates_substitutions(spark, odd):
     assert decontamination.decontaminate(docs, items).count() == 3
 
 
+def test_decontamination_in_several_passes(spark, odd, sf_dir, monkeypatch):
+    docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    want = sorted(map(tuple, decontamination.contaminated(docs, items).collect()))
+    monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", 300)
+    monkeypatch.setattr(decontamination, "MOST_PASSES", 1000)
+    assert want and sorted(map(tuple, decontamination.contaminated(docs, items).collect())) == want
+    monkeypatch.setattr(decontamination, "MOST_PASSES", 1)
+    assert sorted(map(tuple, decontamination.contaminated(docs, items).collect())) == want
+    clash = odd.withColumn("_bad", F.lit(1)).withColumn("bad", F.lit(1)).withColumn("item_id", F.lit(1)).withColumn("seed", F.lit(1))
+    assert decontamination.decontaminate(clash, items).columns == clash.columns and decontamination.decontaminate(clash, items).count() == odd.count()
+
+
+def test_pipeline_stages_bear_odd_rows(spark, odd, sf_dir):
+    import corpus_pipeline
+
+    odd = odd.withColumn("_gone", F.lit(1)).withColumn("bad", F.lit(1)).withColumn("n", F.lit(1)).withColumn("score", F.lit(1))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, sf_dir)
+        assert name == "packing" or got.columns == odd.columns
+        # only the stage on copies drops one of them; junk may go for its quality
+        assert got.where("doc_id = 4").count() == (1 if name == "near_copies" else 0 if name == "quality" and got.where("doc_id = 4").count() == 0 else 2)
+        assert stage(spark, odd.limit(0), sf_dir).count() == 0
+
+
 def test_html_query_by_brute_force(spark, fixture_dir):
     import html
 

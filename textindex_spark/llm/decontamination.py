@@ -11,7 +11,8 @@ SPAN to WINDOW - 1 tokens must be there whole and equal. Items of under SPAN tok
    share is one row a document and shift.
 3. The documents with hits are read again and each candidate shift is verified in full.
 
-The item side is broadcast while it has at most BROADCAST_SEEDS rows of 24 bytes; beyond that the same join shuffles.
+The item side is broadcast in parts of about BROADCAST_SEEDS rows of 24 bytes, by the seed's remainder; each part is one
+more pass over the documents, which are not shuffled. Beyond MOST_PASSES of these the same join shuffles its seeds.
 
 Defined results: null or empty texts, on either side, match nothing; null ids are ignored; repeated documents or items
 give one row for each (doc_id, item_id), the best; ties in the best stretch go to the smallest shift; empty tables give
@@ -20,6 +21,8 @@ no rows; extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,7 @@ SPAN = 8
 WINDOW = 13
 SUBSTITUTIONS = 2
 BROADCAST_SEEDS = 2_000_000
+MOST_PASSES = 16
 BROADCAST_IDS = 2_000_000
 
 
@@ -68,14 +72,18 @@ def seed_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
         .select("item_id", F.col("s.seed").alias("seed"), F.col("s.at").alias("item_at")).distinct(),
         "item-seeds",
     )
-    right = F.broadcast(item_seeds) if item_seeds.count() <= BROADCAST_SEEDS else item_seeds
-    found = (
+    placed = (
         docs.where(F.col("doc_id").isNotNull())
         .select("doc_id", F.explode(let(token_hashes(F.col("text")), seeds)).alias("s"))
         .select("doc_id", F.col("s.seed").alias("seed"), F.col("s.at").alias("at"))
-        .join(right, "seed")
     )
-    return found.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    passes = -(-item_seeds.count() // BROADCAST_SEEDS)
+    if passes > MOST_PASSES:
+        parts = [item_seeds]
+    else:
+        parts = [F.broadcast(item_seeds.where(F.pmod("seed", F.lit(passes)) == k)) for k in range(passes)] or [item_seeds]
+    found = reduce(DataFrame.unionByName, [placed.join(p, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")) for p in parts])
+    return found.distinct()
 
 
 def best_stretch(d: Column, t: Column, shift: Column) -> Column:
@@ -89,14 +97,10 @@ def best_stretch(d: Column, t: Column, shift: Column) -> Column:
     end = F.least(F.size(t), F.size(d) - shift)
 
     def runs(same: Column) -> Column:
-        """Counts of equal tokens in each stretch of an array of 0 and 1, through running sums."""
-        sums = F.aggregate(same, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-
-        def best(s: Column) -> Column:
-            each = F.transform(F.sequence(F.lit(1), F.size(s) - need), lambda i: F.struct((F.element_at(s, i + need) - F.element_at(s, i)).alias("equal"), need.alias("length"), (start - i + 1).alias("neg_at")))
-            return F.array_max(F.filter(each, lambda x: x["equal"] >= need - spare))
-
-        return let(sums, best)
+        """The best stretch of an array of 0 and 1."""
+        equal = lambda i: F.size(F.filter(F.slice(same, i, need), lambda x: x == 1))
+        each = F.transform(F.sequence(F.lit(1), F.size(same) - need + 1), lambda i: F.struct(equal(i).alias("equal"), need.alias("length"), (start - i + 1).alias("neg_at")))
+        return F.array_max(F.filter(each, lambda x: x["equal"] >= need - spare))
 
     same = F.transform(F.sequence(start, end - 1), lambda j: F.when(F.get(t, j) == F.get(d, j + shift), 1).otherwise(0))
     return F.when(end - start >= need, let(same, runs))
@@ -131,8 +135,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that overlap no item, with all their columns."""
-    bad = contaminated(docs, items).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    bad = contaminated(docs, items).select(F.col("doc_id").alias("bad")).distinct()
+    return docs.join(bad, docs["doc_id"] == bad["bad"], "left_anti")
 
 
 def op7_decontamination(spark, sf_dir) -> DataFrame:

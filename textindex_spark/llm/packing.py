@@ -127,7 +127,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROW
     items = items.select("doc_id", F.greatest(F.coalesce("length", F.lit(0)), F.lit(0)).cast("long").alias("length"), F.col("source").cast("string"), F.col("cluster").cast("string"))
     shards = max(1, -(-items.count() // shard_rows))
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "length", "cluster", "source"), F.lit(shards)).cast("int"))
-    return dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInPandas(_pack(capacity), OUT)
+    # a partition holds many shards, so partitions follow the session's setting and not the rows
+    return dealt.repartition("shard").sortWithinPartitions("shard").mapInPandas(_pack(capacity), OUT)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, cluster: Column | None = None) -> DataFrame:
