@@ -21,6 +21,8 @@ are ignored.
 
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -35,7 +37,7 @@ from .common import new_path, read_table
 FRAME_DOCS = 256
 FRAME_IDS = 1 << 20
 END_ID = 0
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 1_500_000
 
 #: Characters that are neither letter, digit nor blank and begin no contraction: after a letter they start a token.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -46,6 +48,7 @@ PLAIN_UNTIL = "\u0530"
 #: How byte-level vocabularies write bytes: printable ones of Latin-1 as themselves, the others from U+0100 on.
 BYTES = {b: b for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
 BYTES |= {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(BYTES)))}
+BLANK = chr(BYTES[32])
 
 #: For every control byte, the lengths of its four codes.
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], dtype=np.uint8)
@@ -54,9 +57,12 @@ LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of an array of whole numbers below 2**32."""
     r = ranks.astype("<u4")
-    size = (1 + (r >= 1 << 8) + (r >= 1 << 16) + (r >= 1 << 24)).astype(np.uint8)
-    raw = r.view(np.uint8).reshape(-1, 4)
-    data = raw[np.arange(4, dtype=np.uint8) < size[:, None]]
+    most = next(k for k in (1, 2, 3, 4) if k == 4 or not len(r) or int(r.max()) < 1 << 8 * k)
+    size = np.ones(len(r), dtype=np.uint8)
+    for k in range(1, most):
+        size += r >= 1 << 8 * k
+    raw = r.view(np.uint8).reshape(-1, 4)[:, :most]
+    data = raw[np.arange(most, dtype=np.uint8) < size[:, None]]
     codes = np.zeros(-(-len(r) // 4) * 4, dtype=np.uint8)
     codes[: len(r)] = size - 1
     quads = codes.reshape(-1, 4)
@@ -66,16 +72,28 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
 
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     size = LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:n]
-    end = np.cumsum(size, dtype=np.int64)
+    end = np.cumsum(size, dtype=np.int32)  # a frame is far shorter
     start = end - size
     raw = np.frombuffer(data + b"\0\0\0", dtype=np.uint8)
     out = raw[start].astype(np.uint32)
-    for k in (1, 2, 3):
+    for k in range(1, int(size.max(initial=1))):
         more = np.flatnonzero(size > k)
         out[more] |= raw[start[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
+class Words(dict):
+    """Ids of words as bytes; a word that is not there yet is learned when it is first asked for."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes | None:
+        ids = self[word] = self.learn(self, word)
+        return ids
+
+
 class Encoder:
     """Ids of texts as little-endian 16- or 32-bit numbers, through a memory of words.
 
@@ -90,8 +108,8 @@ class Encoder:
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.width = array(self.code).itemsize
         self.capacity = capacity
-        self.after: dict[str, bytes | None] = {}
-        self.first: dict[str, bytes | None] = {}
+        self.after = Words(self._after_blank)
+        self.first = Words(self._at_start)
         self.feed = self._raw(["\n"])[0]
         # a word of letters is one token of the byte-level pre-tokenizer, so the library's model can take it as it is
         self.model = self.tokenizer.model if type(self.tokenizer.model).__name__ == "BPE" and self.tokenizer.normalizer is None else None
@@ -99,22 +117,27 @@ class Encoder:
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """The ids of words that may begin with a blank."""
-        if self.model is None:
-            return self._raw(words)
-        out: list[bytes | None] = []
-        other: list[int] = []
-        for k, w in enumerate(words):
-            # letters of alphabets that all libraries class alike
-            if (w[1:] if w[0] == " " else w).isalpha() and max(w) < PLAIN_UNTIL:
-                out.append(array(self.code, [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(BYTES))]).tobytes())
-            else:
-                other.append(k)
-                out.append(None)
-        for k, raw in zip(other, self._raw([words[k] for k in other])):
-            out[k] = raw
-        return out
+    def _word(self, blank: str, word: str) -> bytes:
+        # letters of alphabets that all libraries class alike
+        if self.model is not None and word.isalpha():
+            if word.isascii():
+                return array(self.code, [t.id for t in self.model.tokenize(BLANK + word if blank else word)]).tobytes()
+            if max(word) < PLAIN_UNTIL:
+                return array(self.code, [t.id for t in self.model.tokenize((blank + word).encode().decode("latin-1").translate(BYTES))]).tobytes()
+        return self._raw([blank + word])[0]
+
+    def _parts(self, known: Words, blank: str, word: str) -> bytes:
+        stem = word.rstrip(MARKS)
+        if len(stem) < len(word) and stem[-1:].isalpha():
+            return known[stem] + self.first[word[len(stem) :]]
+        return self._word(blank, word)
+
+    def _after_blank(self, known: Words, word: str) -> bytes | None:
+        # a blank alone, or before another, belongs to what stands beside it
+        return None if not word or word[0].isspace() else self._parts(known, " ", word)
+
+    def _at_start(self, known: Words, word: str) -> bytes:
+        return self._parts(known, "", word) if word else b""
 
     def _lines(self, text: str) -> list[tuple[str, list[str]]] | None:
         """The first and the other words of each line, or None where a line feed does not stand alone between characters."""
@@ -126,25 +149,18 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        after, first = self.after, self.first
-        for known in (after, first):
+        for known in (self.after, self.first):
             if len(known) > self.capacity:  # short words recur most
                 kept = {w: ids for w, ids in known.items() if len(w) <= 5}
                 known.clear()
                 known.update(kept if len(kept) < self.capacity // 2 else {})
-        split = [self._lines(t) for t in texts]
-        starts, rest = set(), set()
-        for lines in split:
-            for head, tail in lines or ():
-                starts.add(head)
-                rest.update(tail)
-        self._learn(rest.difference(after), after, " ")
-        self._learn(starts.difference(first), first, "")
+        first, after = self.first.__getitem__, self.after.__getitem__
         out: list[bytes | None] = []
         whole: list[int] = []
-        for k, lines in enumerate(split):
+        for k, text in enumerate(texts):
+            lines = self._lines(text)
             try:
-                out.append(self.feed.join([first[head] + b"".join(map(after.__getitem__, tail)) for head, tail in lines]))
+                out.append(self.feed.join([first(head) + b"".join(map(after, tail)) for head, tail in lines]))
             except TypeError:  # the text, or a word of it, has no boundaries of its own
                 out.append(None)
                 whole.append(k)
@@ -152,27 +168,14 @@ class Encoder:
             out[k] = raw
         return out
 
-    def _learn(self, missing: set[str], known: dict, blank: str) -> None:
-        parts = {}
-        for w in missing:
-            # a blank alone, or before another, belongs to what stands beside it
-            if not w or (blank and w[0].isspace()):
-                known[w] = b"" if not blank else None
-                continue
-            stem = w.rstrip(MARKS)
-            parts[w] = (stem, w[len(stem) :]) if len(stem) < len(w) and stem[-1:].isalpha() else (w, "")
-        stems = [x for x in {x for x, _ in parts.values()} if x not in known]
-        known.update(zip(stems, self._words([blank + x for x in stems])))
-        tails = [x for x in {x for _, x in parts.values()} if x and x not in self.first]
-        self.first.update(zip(tails, self._raw(tails)))
-        known.update((w, known[stem] + self.first[tail]) for w, (stem, tail) in parts.items() if tail)
+
+#: Module of a worker that holds its encoders by path; functions of this package come anew with every task.
+STATE = "textindex_spark_worker"
 
 
 def held_encoder(path: str) -> Encoder:
     """This worker's encoder: it and the words it knows outlive a task."""
-    import tokenizers
-
-    held = tokenizers.__dict__.setdefault("_held_encoders", {})
+    held = sys.modules.setdefault(STATE, types.ModuleType(STATE)).__dict__.setdefault("encoders", {})
     if path not in held:
         held[path] = Encoder(path)
     return held[path]
