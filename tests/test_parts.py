@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,13 +198,68 @@ def test_phases():
 
 
 def test_stream_replay(spark, tmp_path):
-    from textindex_spark.streaming.replay import answers, run_available
+    from textindex_spark.streaming.replay import replay, run_available
 
-    ops = [(0, "I", 5), (1, "I", 9), (2, "Q", 8), (3, "D", 5), (4, "Q", 8), (5, "Q", 10)]
+    ops = [(0, "I", 5), (1, "I", 9), (2, "Q", 8), (3, "D", 5), (4, "Q", 8), (5, "Q", 10), (6, "I", -30), (7, "Q", -5), (8, "Q", 5), (9, "Q", -31)]
     spark.createDataFrame(ops, "op_seq long, opcode string, key long").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("op_seq long, opcode string, key long").parquet(str(tmp_path / "in"))
-    got = answers(run_available(stream, "replayed", str(tmp_path / "state"), shift=3))
-    assert {r.op_seq: r.pred for r in got.collect()} == {2: 5, 4: None, 5: 9}
+    want = {2: (5, 9, 2), 4: (None, 9, 1), 5: (9, None, 1), 7: (-30, 9, 2), 8: (-30, 9, 2), 9: (None, -30, 2)}
+    for name, universe in (("few", (3, -32, 31)), ("all", ())):
+        got = run_available(stream, str(tmp_path / name), *universe)
+        assert {r.op_seq: (r.pred, r.succ, r.size) for r in got.collect()} == want
+    with pytest.raises(ValueError, match="larger shift"):
+        replay(stream, 3)
+
+
+def test_extremes_over_time_by_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    live, rows, want, seq = set(), [], {}, 1000
+    for _ in range(400):
+        k = rng.randrange(-20, 20)
+        code = "D" if k in live and rng.random() < 0.7 else "I"
+        rows.append((seq, code, k))
+        before = len(live)
+        live = live | {k} if code == "I" else live - {k}
+        if len(live) != before:
+            want[seq] = (len(live), min(live, default=None), max(live, default=None))
+        seq += rng.randint(1, 9)
+    ops = spark.createDataFrame(rows, "op_seq long, opcode string, key long")
+    for top in (15, 2):
+        dynamic.TOP_LEVELS = top
+        assert {r.op_seq: (r.size, r.min_key, r.max_key) for r in dynamic.extremes_over_time(ops).collect()} == want
+    dynamic.TOP_LEVELS = 15
+    assert dynamic.extremes_over_time(ops.limit(0)).count() == 0
+
+
+def test_search_bears_clashing_names(spark, monkeypatch):
+    names = ("_q", "_v", "v", "bucket", "asked", "row", "p", "s", "b0", "k")
+    q = spark.createDataFrame([(7, 1), (2, 1), (None, 1)], "x long, g long")
+    for n in names:
+        q = q.withColumn(n, F.lit(3))
+    keys = spark.createDataFrame([(3, 1), (9, 1), (3, 1), (None, 1)], "k long, g long")
+    want = {(7, 3, 0, 9, 3), (2, None, None, 3, 3), (None, None, None, None, 3)}
+    found = lambda d: {(r.x, r.pred, r.pos, r.succ, r._v) for r in d.collect()}
+    assert found(predecessor.search(q, keys, "x", "k", ["g"], shift=1)) == found(predecessor.search_windowed(q, keys, "x", "k", ["g"])) == want
+    assert found(predecessor.search_broadcast(q, keys, "x", "k")) == want
+    monkeypatch.setattr(predecessor, "BROADCAST_KEYS", 1)
+    assert found(predecessor.search_broadcast(q, keys, "x", "k")) == want
+    assert [r.x for r in predecessor.contains(q.withColumn("x", F.col("x") + 2), keys, "x", "k").collect()] == [9]
+
+
+def test_roots_and_primes_at_the_edges(spark):
+    values = [0, 1, 2, 3, 4, 8, 9, (1 << 62) - 1, 1 << 62, 3037000499**2, 3037000499**2 - 1, (1 << 63) - 1]
+    d = spark.createDataFrame([(v,) for v in values], "v long")
+    got = {r.v: (r.f, r.c) for r in d.select("v", bits.isqrt_floor(F.col("v")).alias("f"), bits.isqrt_ceil(F.col("v")).alias("c")).collect()}
+    assert got == {v: (math.isqrt(v), math.isqrt(v - 1) + 1 if v else 0) for v in values}
+    # the primes around a gap of 354, and the smallest ones
+    d = spark.createDataFrame([(4302407360,), (4302407712,), (4302407713,), (0,), (2,), (14,)], "v long")
+    got = {r.v: (r.p, r.s) for r in d.select("v", bits.prime_predecessor(F.col("v")).alias("p"), bits.prime_successor(F.col("v")).alias("s")).collect()}
+    assert got == {4302407360: (4302407359, 4302407713), 4302407712: (4302407359, 4302407713), 4302407713: (4302407713, 4302407713), 0: (None, 2), 2: (2, 2), 14: (13, 17)}
+    codes = spark.createDataFrame([(1,), (2,), (5,), (17,), ((1 << 63) - 1,)], "v long").select("v", bits.gamma_code(F.col("v")).alias("g"), bits.delta_code(F.col("v")).alias("d")).collect()
+    assert {r.v: r.g for r in codes}[5] == "00101" and {r.v: r.d for r in codes}[17] == "001010001" and {r.v: r.d for r in codes}[1] == "1"
+    assert all(r.g == "0" * (r.v.bit_length() - 1) + f"{r.v:b}" for r in codes)
 
 
 def test_table_functions(spark):

@@ -56,9 +56,10 @@ def ilog2_floor(x) -> Column:
 
 
 def isqrt_floor(x) -> Column:
-    """Exact floor of the square root of a number from 0 to 2**62."""
-    r = F.floor(F.sqrt(_c(x).cast("double"))).cast("bigint")
-    return F.when(r * r > _c(x), r - 1).when((r + 1) * (r + 1) <= _c(x), r + 1).otherwise(r)
+    """Exact floor of the square root of a number from 0 to 2**63 - 1; compared by division, so nothing overflows."""
+    v = _c(x).cast("bigint")
+    r = F.floor(F.sqrt(v.cast("double"))).cast("bigint")
+    return F.when((r > 0) & (r > _div(v, F.greatest(r, F.lit(1).cast("bigint")))), r - 1).when(r + 1 <= _div(v, r + 1), r + 1).otherwise(r)
 
 
 def isqrt_ceil(x) -> Column:
@@ -74,16 +75,26 @@ def is_prime(x) -> Column:
     return F.when(v < 2, F.lit(False)).when(v < 4, F.lit(True)).when((v % 2 == 0) | (v % 3 == 0), F.lit(False)).otherwise(free)
 
 
+#: No two neighbouring primes below 2**64 are further apart (a fixed value).
+LONGEST_GAP = 1550
+
+
+def _first_prime(tries: Column) -> Column:
+    """The first prime of an array; numbers after it are not tested."""
+    return F.aggregate(tries, F.lit(None).cast("bigint"), lambda found, c: F.when(found.isNotNull(), found).when(is_prime(c), c))
+
+
 def prime_predecessor(x) -> Column:
-    """The largest prime up to x: gaps between primes below 2**31 are under 340, so a search that far suffices there."""
-    v = _c(x)
-    near = F.sequence(v, F.greatest(v - 340, F.lit(2).cast("bigint")), F.lit(-1).cast("bigint"))
-    return F.when(v >= 2, F.get(F.filter(near, is_prime), F.lit(0)))
+    """The largest prime up to x; NULL below 2."""
+    v = _c(x).cast("bigint")
+    low = F.greatest(v - LONGEST_GAP, F.lit(2).cast("bigint"))
+    return F.when(v >= 2, _first_prime(F.sequence(F.greatest(v, low), low, F.lit(-1).cast("bigint"))))
 
 
 def prime_successor(x) -> Column:
-    v = F.greatest(_c(x), F.lit(2).cast("bigint"))
-    return F.get(F.filter(F.sequence(v, v + 340), is_prime), F.lit(0))
+    """The smallest prime from x on."""
+    v = F.greatest(_c(x).cast("bigint"), F.lit(2).cast("bigint"))
+    return _first_prime(F.sequence(v, v + LONGEST_GAP))
 
 
 def popcnt(x) -> Column:
@@ -161,14 +172,19 @@ def unary_code(x) -> Column:
     return F.concat(F.repeat(F.lit("0"), _c(x).cast("int")), F.lit("1"))
 
 
+def _gamma(digits: Column) -> Column:
+    """Gamma code of a number from its binary digits: as many zeros as digits follow the first, then the digits."""
+    return F.concat(F.repeat(F.lit("0"), F.length(digits) - 1), digits)
+
+
 def gamma_code(x) -> Column:
-    b = ilog2_floor(x)
-    return F.when(_c(x) > 0, F.concat(unary_code(b), _low(_c(x), b)))
+    return F.when(_c(x) > 0, _gamma(F.bin(_c(x))))
 
 
 def delta_code(x) -> Column:
-    b = ilog2_floor(x)
-    return F.when(_c(x) > 0, F.concat(gamma_code(b + 1), _low(_c(x), b)))
+    """The number of binary digits in gamma code, then the digits after the first."""
+    digits = F.bin(_c(x))
+    return F.when(_c(x) > 0, F.concat(_gamma(F.bin(F.length(digits))), F.substring(digits, 2, 64)))
 
 
 def delta0_code(x) -> Column:

@@ -8,7 +8,7 @@ holds s.
 Answers come from two levels. A bucket of the universe (key >> shift) is live while any of its keys is; these intervals
 are merged, so there are far fewer of them than of keys. A query is first answered inside its own bucket by an equi-join;
 if that fails, the nearest live bucket is found, by the same method one level up or from a broadcast table of bounded
-size, and the answer lies in that bucket. No query is paired with all intervals.
+size, and the answer lies in that bucket. Only that table of buckets is compared with queries by a range; no query is paired with all keys.
 
 NULL stands for no answer. Structures behind the set (trees, bitmaps, lists) are not visible in the answers.
 """
@@ -22,6 +22,8 @@ from ..plans.durable import materialize
 
 #: Live intervals of buckets are broadcast up to this many rows of 24 bytes.
 BROADCAST_SPANS = 200_000
+#: Levels of the tree over time that are broadcast: 2**(TOP_LEVELS + 1) rows at most.
+TOP_LEVELS = 15
 
 
 def intervals(ops: DataFrame, seq: str = "op_seq", opcode: str = "opcode", key: str = "key") -> DataFrame:
@@ -90,12 +92,36 @@ def nearest(queries: DataFrame, spans: DataFrame, x: str, seq: str, shift: int =
 
 
 def extremes_over_time(ops: DataFrame, seq: str = "op_seq") -> DataFrame:
-    """(op_seq, size, min_key, max_key) after each change; NULL extremes when the set is empty."""
-    sizes = size_over_time(ops, seq)
+    """(op_seq, size, min_key, max_key) after each change; NULL extremes when the set is empty.
+
+    Time is a binary tree over sequence numbers. The interval of a key splits into two nodes a level at most; a node keeps
+    the smallest and the largest key that is live in all of it, and a change asks the nodes above it, one a level. The
+    upper levels have few nodes (2**TOP_LEVELS at the widest) and are broadcast; below, a node stands over a bounded
+    stretch of time, so no key of the join is hot.
+    """
     spans = intervals(ops, seq)
-    after = sizes.withColumn("at", F.col("op_seq") + F.lit(0.5)).withColumn("low", F.lit(-(1 << 62))).withColumn("high", F.lit(1 << 62))
-    low = nearest(after, spans, "low", "at", below=False).withColumnRenamed("answer", "min_key")
-    return nearest(low, spans, "high", "at", below=True).select("op_seq", "size", "min_key", F.col("answer").alias("max_key"))
+    least, most = spans.agg(F.min("ins"), F.max(F.greatest("ins", F.coalesce("del", "ins")))).first()
+    least, most = least or 0, most or 0
+    levels = (most - least + 1).bit_length()
+    shift = lambda x, n: F.call_function("shiftright", x, n)
+    start, end = F.col("ins") - least, F.coalesce(F.col("del") - least, F.lit(1 << levels).cast("bigint"))
+
+    def at(level):
+        low, high = shift(start + F.call_function("shiftleft", F.lit(1).cast("bigint"), level) - 1, level), shift(end, level)
+        some = low < high
+        node = lambda n: F.struct(level.alias("level"), n.alias("node"))
+        return F.array(F.when(some & (low % 2 == 1), node(low)), F.when(some & (high % 2 == 1), node(high - 1)))
+
+    nodes = spans.select("key", F.explode(F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at)))).alias("n"))
+    nodes = materialize(nodes.groupBy("n.level", "n.node").agg(F.min("key").alias("lo"), F.max("key").alias("hi")))
+    split = max(0, levels - TOP_LEVELS)
+    sizes = materialize(size_over_time(ops, seq))
+    asked = sizes.select("op_seq", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+    asked = asked.withColumn("node", shift(F.col("op_seq") - least, F.col("level")))
+    upper = asked.where(F.col("level") > split).join(F.broadcast(nodes.where(F.col("level") > split)), ["level", "node"])
+    lower = asked.where(F.col("level") <= split).join(nodes.where(F.col("level") <= split), ["level", "node"])
+    found = upper.unionByName(lower).groupBy("op_seq").agg(F.min("lo").alias("min_key"), F.max("hi").alias("max_key"))
+    return sizes.join(found, "op_seq", "left").select("op_seq", "size", "min_key", "max_key")
 
 
 def contained(queries: DataFrame, spans: DataFrame, x: str, seq: str) -> DataFrame:

@@ -20,59 +20,61 @@ BROADCAST_KEYS = 1_000_000
 
 def search(queries: DataFrame, keys: DataFrame, x: str, key: str, by: list[str] = (), shift: int = 20) -> DataFrame:
     """queries with `pred`, `pos` (0-based rank of pred among the set's keys) and `succ`. x and key are BIGINT columns."""
-    by = list(by)
-    q = queries.withColumn("_v", F.col(x).cast("bigint"))
-    k = keys.where(F.col(key).isNotNull()).select(*by, F.col(key).cast("bigint").alias("_v")).distinct()
-    bucket = lambda d: d.withColumn("_b", F.call_function("shiftright", F.col("_v"), F.lit(shift)))
-    k, q = bucket(k), bucket(q)
+    # input rows travel as one column, so their names cannot clash with those used here
+    sets = [f"b{i}" for i in range(len(by))]
+    bucket = F.call_function("shiftright", F.col("v"), F.lit(shift)).alias("bucket")
+    q = _rows(queries, x, by).select("*", bucket)
+    k = _keys(keys, key, by).select("*", bucket)
     # one row for each bucket of a set that has keys or queries
-    have = k.groupBy(*by, "_b").agg(F.max("_v").alias("hi"), F.min("_v").alias("lo"), F.count(F.lit(1)).alias("n"))
-    ask = q.where("_v is not null").select(*by, "_b").distinct()
-    spots = ask.withColumn("hi", F.lit(None).cast("bigint")).withColumn("lo", F.lit(None).cast("bigint")).withColumn("n", F.lit(0).cast("bigint")).unionByName(have).groupBy(*by, "_b").agg(F.max("hi").alias("hi"), F.max("lo").alias("lo"), F.max("n").alias("n"))
-    order = Window.partitionBy(*by).orderBy("_b")
+    have = k.groupBy(*sets, "bucket").agg(F.max("v").alias("hi"), F.min("v").alias("lo"), F.count(F.lit(1)).alias("n"))
+    ask = q.where("v is not null").select(*sets, "bucket").distinct()
+    none = F.lit(None).cast("bigint")
+    spots = ask.select("*", none.alias("hi"), none.alias("lo"), F.lit(0).cast("bigint").alias("n")).unionByName(have).groupBy(*sets, "bucket").agg(F.max("hi").alias("hi"), F.max("lo").alias("lo"), F.max("n").alias("n"))
+    order = Window.partitionBy(*sets).orderBy("bucket")
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    carry = spots.select(*by, "_b", F.last("hi", True).over(before).alias("_below"), F.first("lo", True).over(after).alias("_above"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_rank"))
-    carry = carry.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(by)], F.col("_b").alias("_cb"), "_below", "_above", "_rank")
-    names = q.columns
-    both = q.select(F.lit(1).alias("_q"), *names).unionByName(k.select(F.lit(0).alias("_q"), *by, "_v", "_b"), allowMissingColumns=True)
-    inside = Window.partitionBy(*by, "_b").orderBy("_v", "_q")
-    own = F.when(F.col("_q") == 0, F.col("_v"))
-    ahead = Window.partitionBy(*by, "_b").orderBy(F.col("_v").desc(), "_q").rowsBetween(Window.unboundedPreceding, 0)
-    answered = both.select(
-        "*", F.last(own, True).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("_p"),
-        F.count(own).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("_n"), F.last(own, True).over(ahead).alias("_s"),
-    ).where("_q = 1")
-    same = F.col("_b") == F.col("_cb")
-    for i, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_c{i}"))
-    out = answered.join(carry, same, "left")
-    pos = F.col("_rank") + F.col("_n") - 1
-    known = F.col("_v").isNotNull()
-    return out.select(
-        *queries.columns, F.when(known, F.coalesce("_p", "_below")).alias("pred"),
-        F.when(known & (pos >= 0), pos).alias("pos"), F.when(known, F.coalesce("_s", "_above")).alias("succ"),
+    carry = spots.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(sets)], F.col("bucket").alias("at"), F.last("hi", True).over(before).alias("below"), F.first("lo", True).over(after).alias("above"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank"))
+    both = q.select(F.lit(1).alias("asked"), "*").unionByName(k.select(F.lit(0).alias("asked"), "*"), allowMissingColumns=True)
+    inside = Window.partitionBy(*sets, "bucket").orderBy("v", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*sets, "bucket").orderBy(F.col("v").desc(), "asked").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.when(F.col("asked") == 0, F.col("v"))
+    answered = both.select("*", F.last(own, True).over(inside).alias("p"), F.count(own).over(inside).alias("m"), F.last(own, True).over(ahead).alias("s")).where("asked = 1")
+    same = F.col("bucket") == F.col("at")
+    for i, c in enumerate(sets):
+        same = same & F.col(c).eqNullSafe(F.col(f"c{i}"))
+    pos, known = F.col("rank") + F.col("m") - 1, F.col("v").isNotNull()
+    return answered.join(carry, same, "left").select(
+        "row.*", F.when(known, F.coalesce("p", "below")).alias("pred"), F.when(known & (pos >= 0), pos).alias("pos"), F.when(known, F.coalesce("s", "above")).alias("succ"),
     )
 
 
+def _rows(queries: DataFrame, x: str, by) -> DataFrame:
+    """(row, v, b0, b1, ...): the input row, its number and its set."""
+    return queries.select(F.struct(*[F.col(f"`{c}`") for c in queries.columns]).alias("row"), F.col(x).cast("bigint").alias("v"), *[F.col(c).alias(f"b{i}") for i, c in enumerate(by)])
+
+
+def _keys(keys: DataFrame, key: str, by) -> DataFrame:
+    """Distinct (v, b0, b1, ...) without null keys."""
+    return keys.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("v"), *[F.col(c).alias(f"b{i}") for i, c in enumerate(by)]).distinct()
+
+
 def search_windowed(queries: DataFrame, keys: DataFrame, x: str, key: str, by: list[str]) -> DataFrame:
     """The same answers with one window for each set: for many sets of moderate size."""
-    by = list(by)
-    k = keys.where(F.col(key).isNotNull()).select(*by, F.col(key).cast("bigint").alias("_v")).distinct()
-    q = queries.withColumn("_v", F.col(x).cast("bigint"))
-    both = q.select(F.lit(1).alias("_q"), *q.columns).unionByName(k.select(F.lit(0).alias("_q"), *by, "_v"), allowMissingColumns=True)
-    own = F.when(F.col("_q") == 0, F.col("_v"))
-    up = Window.partitionBy(*by).orderBy("_v", "_q").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*by).orderBy(F.col("_v").desc(), "_q").rowsBetween(Window.unboundedPreceding, 0)
+    sets = [f"b{i}" for i in range(len(by))]
+    both = _rows(queries, x, by).select(F.lit(1).alias("asked"), "*").unionByName(_keys(keys, key, by).select(F.lit(0).alias("asked"), "*"), allowMissingColumns=True)
+    own = F.when(F.col("asked") == 0, F.col("v"))
+    up = Window.partitionBy(*sets).orderBy("v", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*sets).orderBy(F.col("v").desc(), "asked").rowsBetween(Window.unboundedPreceding, 0)
     n = F.count(own).over(up) - 1
-    out = both.select("*", F.last(own, True).over(up).alias("pred"), F.when(n >= 0, n).alias("pos"), F.last(own, True).over(down).alias("succ")).where("_q = 1")
-    known = F.col("_v").isNotNull()
-    return out.select(*queries.columns, *[F.when(known, F.col(c)).alias(c) for c in ("pred", "pos", "succ")])
+    out = both.select("*", F.last(own, True).over(up).alias("p"), F.when(n >= 0, n).alias("m"), F.last(own, True).over(down).alias("s")).where("asked = 1")
+    known = F.col("v").isNotNull()
+    return out.select("row.*", *[F.when(known, F.col(c)).alias(name) for c, name in (("p", "pred"), ("m", "pos"), ("s", "succ"))])
 
 
 def search_broadcast(queries: DataFrame, keys: DataFrame, x: str, key: str) -> DataFrame:
-    """The same answers by binary search in a sorted array that every worker holds: for one set of checked size."""
-    if (n := keys.count()) > BROADCAST_KEYS:
-        raise ValueError(f"{n} keys are too many to broadcast; use search()")
+    """The same answers by binary search in a sorted array that every worker holds; a set of more than BROADCAST_KEYS rows
+    is searched by buckets."""
+    if keys.count() > BROADCAST_KEYS:
+        return search(queries, keys, x, key)
     held = np.sort(keys.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("k")).distinct().toPandas()["k"].to_numpy(dtype=np.int64))
     shared = queries.sparkSession.sparkContext.broadcast(held)
 
@@ -87,7 +89,7 @@ def search_broadcast(queries: DataFrame, keys: DataFrame, x: str, key: str) -> D
         pred[~has], pos[~has], succ[~more] = pd.NA, pd.NA, pd.NA
         return pd.DataFrame({"pred": pred, "pos": pos, "succ": succ})
 
-    return queries.withColumn("_a", look(F.col(x).cast("bigint"))).select(*queries.columns, "_a.pred", "_a.pos", "_a.succ")
+    return _rows(queries, x, ()).select("row", look("v").alias("found")).select("row.*", "found.*")
 
 
 def predecessor(queries, keys, x, key, by=(), **kw) -> DataFrame:
@@ -100,4 +102,5 @@ def successor(queries, keys, x, key, by=(), **kw) -> DataFrame:
 
 def contains(queries: DataFrame, keys: DataFrame, x: str, key: str) -> DataFrame:
     """The queries whose value is a key."""
-    return queries.join(keys.select(F.col(key).alias("_k")), F.col(x) == F.col("_k"), "left_semi")
+    k = keys.select(F.col(key).alias("k"))
+    return queries.join(k, queries[x] == k["k"], "left_semi")

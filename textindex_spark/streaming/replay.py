@@ -1,8 +1,8 @@
 """Replay of operation streams: dynamic predecessor queries over a stream, with the live keys as state.
 
-State is one sorted list of live keys for each bucket of the universe, so buckets are replayed by different tasks. A query
-also reaches the buckets below its own: `spread` gives it to every bucket up to its own, each bucket answers with its own
-predecessor, and `answers` keeps the largest. A stream whose universe is one bucket needs no spread.
+State is one sorted list of live keys for each bucket (key >> shift) of the universe, so buckets are replayed by different
+tasks. A query goes to every bucket of the universe from `lowest` to `highest`, negative keys included; each answers for
+its own keys, and `answers` joins what they say. The number of buckets is therefore bounded (MOST_BUCKETS).
 
 Operations inside a trigger are put in order of op_seq before they are applied; triggers must come in order. State is
 kept by Spark's state store, so a query resumes from its checkpoint after a failure.
@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MOST_BUCKETS = 4096
 OUT = "bucket long, op_seq long, key long, pred long, succ long, size long"
 
 
@@ -38,21 +39,27 @@ def _apply(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame
     yield pd.DataFrame(out, columns=["bucket", "op_seq", "key", "pred", "succ", "size"]).astype({c: "Int64" for c in ("bucket", "op_seq", "key", "pred", "succ", "size")})
 
 
-def replay(ops: DataFrame, shift: int = 62) -> DataFrame:
-    """Answers to the queries of an operation stream, a row for each query and bucket of 2**shift keys it was given to."""
+def replay(ops: DataFrame, shift: int = 62, lowest: int = -(1 << 63), highest: int = (1 << 63) - 1) -> DataFrame:
+    """Answers to the queries of an operation stream: a row for each query and bucket of 2**shift keys.
+
+    Keys lie between lowest and highest. Without these the universe is that of all BIGINT keys, in four buckets.
+    """
+    first, last = lowest >> shift, highest >> shift
+    if last - first >= MOST_BUCKETS:
+        raise ValueError(f"{last - first + 1} buckets are too many; use a larger shift")
     own = F.call_function("shiftright", F.col("key"), F.lit(shift))
-    spread = F.explode(F.when(F.col("opcode") == "Q", F.sequence(F.lit(0).cast("bigint"), own)).otherwise(F.array(own)))
+    spread = F.explode(F.when(F.col("opcode") == "Q", F.sequence(F.lit(first).cast("bigint"), F.lit(last).cast("bigint"))).otherwise(F.array(own)))
     rows = ops.select("op_seq", "opcode", "key", spread.alias("bucket"))
     return rows.groupBy("bucket").applyInPandasWithState(_apply, OUT, "live array<long>", "append", "NoTimeout")
 
 
 def answers(replayed: DataFrame) -> DataFrame:
-    """(op_seq, key, pred): the best of the buckets' answers to each query."""
-    return replayed.groupBy("op_seq", "key").agg(F.max("pred").alias("pred"))
+    """(op_seq, key, pred, succ, size): the buckets' answers to each query, joined."""
+    return replayed.groupBy("op_seq", "key").agg(F.max("pred").alias("pred"), F.min("succ").alias("succ"), F.sum("size").alias("size"))
 
 
-def run_available(ops: DataFrame, name: str, checkpoint: str, shift: int = 62) -> DataFrame:
-    """Replay all that a streaming source has now into a table in memory and return the table."""
-    query = replay(ops, shift).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(ops: DataFrame, folder: str, shift: int = 62, lowest: int = -(1 << 63), highest: int = (1 << 63) - 1) -> DataFrame:
+    """Replay all that a streaming source has now; the answers are a table in the folder, beside the query's state."""
+    query = replay(ops, shift, lowest, highest).writeStream.format("parquet").option("path", f"{folder}/answers").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return ops.sparkSession.table(name)
+    return answers(ops.sparkSession.read.schema(OUT).parquet(f"{folder}/answers"))
