@@ -453,6 +453,10 @@ def test_html_query_by_brute_force(spark, fixture_dir):
 def test_html_blocks():
     page = '<html><body><div class="cookie-notice">We use cookies</div><main><h1>A &amp; B</h1>Loose <i>text</i><br>here<ul><li>one<li>two</ul><table><tr><td>c1<td>c2</table></main><section id="comments"><p>hey</p></section><p>tail &am'
     assert [t for _, t in html_extract.blocks(page)] == ["A & B", "Loose text here", "one", "two", "c1", "c2", "tail &am"]
+    texts = lambda page: [t for _, t in html_extract.blocks(page)]
+    assert texts("<p title=it's>One</p><p>don't stop</p><p>Three</p>") == ["One", "don't stop", "Three"]
+    assert texts("<p title='a > b' data-x=\"c > d\">One</p><p a = 'x>y'>Two</p><br/>Three") == ["One", "Two", "Three"]
+    assert texts("<p>x</p>" * 20000 + "<a href='" * 200)[:20000] == ["x"] * 20000
     assert html_extract.blocks("") == [] and html_extract.blocks("<p") == [] and html_extract.blocks("plain") == [("", "plain")]
 
 

@@ -27,6 +27,7 @@ is broadcast only up to BROADCAST_ROWS rows and joined by a shuffle beyond.
 Defined results: null or empty html gives the empty text and length 0; a null or odd url is the host ""; pages of a
 host with equal blocks count once in the entropy and come out as often as they went in; an empty table gives no
 rows; extra columns are ignored. Tags that are never closed, cut off or misnested are closed where their parents end.
+Known limit: tags begun after the last > of a page are each searched to its end.
 """
 
 from __future__ import annotations
@@ -71,7 +72,9 @@ PARTS = frozenset(
     "hidden copyright".split()
 )
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[/!?a-zA-Z][^<>]*\Z", re.S | re.I)
+#: What follows a tag's name: only a quote after an equals sign opens a value that may hold a >.
+_INSIDE = r"(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<({RAW})\b{_INSIDE}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_INSIDE})>|<[!?][^>]*>|<[/!?a-zA-Z][^<>]*\Z", re.S | re.I)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _WORDS = re.compile(r"[a-z0-9]+")
 
