@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .sketch import AugmentedSketch
 from .textindex import common_prefix, doubled_ranks
@@ -347,18 +349,29 @@ def lz78_decode(pairs: list[tuple[int, int | None]]) -> bytes:
     return b"".join(out)
 
 
+def _candidates(size: int, kinds):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0), batch.column(1).to_pylist()):
+                text, latest, at, src = text or "", {}, [], []
+                for i in range(len(text) - size + 1):
+                    g = text[i : i + size]
+                    if (block := latest.get(g)) is not None:
+                        at.append(i)
+                        src.append(block)
+                    if i % size == 0:
+                        latest[g] = i
+                if at:
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()] * len(at), kinds), pa.array(at, pa.int64()), pa.array(src, pa.int64())], ["doc_id", "pos", "src"])
+
+    return run
+
+
 def block_candidates(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, pos, src): for each place whose next `size` characters equal an earlier aligned block, its latest place.
 
-    The relational half of the fingerprint parser: blocks and windows meet by equality of document and characters. Per
-    document and window text only the blocks' places are kept, so a repeated window does not multiply.
+    A document is one row and carries its blocks with it: one pass over its characters, nothing is shuffled. Memory
+    follows the longest document, at one block in `size` characters.
     """
-    from .textindex import gram_rows
-
-    windows = gram_rows(docs, size, ["doc_id"]).select("doc_id", (F.col("pos") - 1).alias("pos"), F.xxhash64("gram").alias("h"), F.col("gram").alias("s"))
-    from pyspark.sql import Window
-
-    # one ordered pass over the equal windows of a document: the last aligned place before each
-    w = Window.partitionBy("doc_id", "h", "s").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    found = windows.withColumn("src", F.max(F.when(F.col("pos") % size == 0, F.col("pos"))).over(w))
-    return found.where("src is not null").select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("src").cast("bigint").alias("src"))
+    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("pos", LongType()), StructField("src", LongType())])
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_candidates(size, to_arrow_type(schema["doc_id"].dataType)), schema)
