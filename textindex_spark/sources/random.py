@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.bits import _c
 
 SEED = 147
+#: A seed of 64 bits is combined with both by exclusive or and added modulo 2**64.
+SEED_MASKS = 0x9696594B6A5936B2, 0xD2165B4B66592AD6
 
 
 def _is_prime(n: int) -> bool:
@@ -56,13 +59,9 @@ def _residue(i: Column, prime: int) -> Column:
 def permuted(i, universe: int, seed: int = SEED) -> Column:
     """Where a fixed permutation of 0 .. universe - 1 sends i: two rounds of residues with a shift between them."""
     prime = permutation_prime(universe)
-    shift = _shift(universe, seed)
-    first = _residue(_c(i), prime)
-    return _residue(F.pmod((first.cast("decimal(20,0)") + F.lit(shift)), F.lit(universe)).cast("bigint"), prime)
-
-
-def _shift(universe: int, seed: int) -> int:
-    return (seed * 0x9E3779B97F4A7C15 >> 7) % universe
+    shift = seed ^ SEED_MASKS[0] ^ SEED_MASKS[1]
+    moved = (_residue(_c(i), prime).cast("decimal(20,0)") + F.lit(Decimal(shift))) % F.lit(Decimal(1 << 64))
+    return _residue((moved % F.lit(Decimal(universe))).cast("bigint"), prime)
 
 
 def permutation(spark: SparkSession, universe: int, seed: int = SEED, n: int | None = None, start: int = 0) -> DataFrame:
