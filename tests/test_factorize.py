@@ -85,3 +85,29 @@ def test_containers_round_trip(t):
     f = factorize.lz77(t)
     bits = coding.write_factors(f)
     assert coding.read_factors(coding.from_bytes(coding.to_bytes(bits), len(bits))) == f
+
+
+@settings(max_examples=200, deadline=None)
+@given(TEXTS)
+def test_coders_round_trip(t):
+    for name, (encode, decode) in coding.CODERS.items():
+        bits = encode(t)
+        assert decode(coding.from_bytes(coding.to_bytes(bits), len(bits))) == t, name
+    assert coding.adaptive_bits(t) == len(coding.adaptive_encode(t))
+    assert coding.forward_bits(t) == len(coding.forward_encode(t))
+    assert coding.forward_bits(t, True) == len(coding.hybrid_encode(t))
+
+
+@settings(max_examples=100, deadline=None)
+@given(TEXTS)
+def test_falling_tree_stays_a_huffman_tree(t):
+    """At each step the weighted path length is that of a Huffman code of what is still to come."""
+    left = {s: t.count(s) for s in set(t)}
+    tree = coding.Falling(left)
+    for c in t:
+        best = sum(n * k for n, k in zip(left.values(), coding.code_lengths(list(left.values()))))
+        assert tree.counts() == left and sum(n * tree.depth(s) for s, n in left.items()) == best
+        tree.use(c)
+        left[c] -= 1
+        left = {s: n for s, n in left.items() if n}
+    assert not tree.leaf

@@ -132,6 +132,17 @@ def test_permutation_is_one(spark):
         assert sorted(got) == list(range(u))
 
 
+def test_permutation_follows_its_definition(spark):
+    masks, wrap = 0x9696594B6A5936B2 ^ 0xD2165B4B66592AD6, (1 << 64) - 1
+    for u, p, seed in ((1000, 991, 147), (1000, 991, masks ^ wrap), ((1 << 16) - 1, (1 << 16) - 17, 5)):
+
+        def residue(x):
+            return x if x >= p else x * x % p if x <= p // 2 else p - x * x % p
+
+        want = [residue(((seed ^ masks) + residue(i) & wrap) % u) for i in range(u)]
+        assert [r.value for r in random.permutation(spark, u, seed).orderBy("i").collect()] == want
+
+
 def test_generated_operations_are_valid():
     live = set()
     for code, keys in random.generate_operations(1, 50, 1 << 16, 5):

@@ -329,6 +329,23 @@ def entropy_code_bits(spark, sf_dir):
     return coding.entropy_bits(table(spark, sf_dir, "documents"))
 
 
+#: Bits of a byte b under the static coders.
+_STATIC = "[struct_pack(coder := 'binary', n := 8), struct_pack(coder := 'delta0', n := length(bin(b + 1)) + 2 * (length(bin(length(bin(b + 1)))) - 1)), " + ", ".join(f"struct_pack(coder := 'rice{p}', n := 2 * length(bin((b >> {p}) + 1)) - 1 + {p})" for p in range(1, 9)) + "]"
+
+
+@query(f"WITH b AS (SELECT doc_id, ('0x' || unnest(regexp_extract_all(hex(encode(text)), '..')))::INTEGER AS b FROM documents), h AS (SELECT doc_id, b, count(*) AS k FROM b GROUP BY ALL), s AS (SELECT doc_id, k, unnest({_STATIC}) AS c FROM h) SELECT doc_id, c.coder AS coder, sum(k * c.n)::BIGINT AS n_bits FROM s GROUP BY ALL")
+def static_code_sizes(spark, sf_dir):
+    static = [c for c in coding.CODERS if c[:4] in ("bina", "delt", "rice")]
+    return coding.encode_texts(table(spark, sf_dir, "documents"), static).where("n_bits > 0").select("doc_id", "coder", "n_bits")
+
+
+@query(f"SELECT doc_id, unnest({list(coding.CODERS)}) AS coder, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes, md5(coalesce(text, '')) AS content FROM documents")
+def coder_roundtrip(spark, sf_dir):
+    """Every text under every coder, written and read back."""
+    back = coding.decode_texts(coding.encode_texts(table(spark, sf_dir, "documents")))
+    return back.select("doc_id", "coder", F.length("content").cast("bigint").alias("n_bytes"), F.md5("content").alias("content"))
+
+
 # hashes
 
 _DOC_BYTES = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::INTEGER)"
@@ -556,14 +573,10 @@ def wide_products(spark, sf_dir):
 
 
 _U = 100_000
-_P = random.permutation_prime(_U)
-
-
-def _residue_sql(x: str) -> str:
-    return f"CASE WHEN {x} >= {_P} THEN {x} WHEN 2 * {x} <= {_P} THEN {x} * {x} % {_P} ELSE {_P} - {x} * {x} % {_P} END"
+_RESIDUE = "CASE WHEN x >= p THEN x WHEN 2 * x <= p THEN x * x % p ELSE p - x * x % p END"
 
 
-@query(f"SELECT i, ({_residue_sql('b')})::BIGINT AS value FROM (SELECT i, (({_residue_sql('i')}) + {random._shift(_U, random.SEED)}) % {_U} AS b FROM (SELECT unnest(range({_U})) AS i))")
+@query(f"WITH p AS (SELECT max(k) AS p FROM (SELECT unnest(range({_U - 1000}, {_U + 1})) AS k) WHERE k % 4 = 3 AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(2, 317)) AS d) WHERE k % d = 0)), a AS (SELECT i, {_RESIDUE} AS x, p FROM (SELECT unnest(range({_U})) AS i, i AS x), p), b AS (SELECT i, ((x::UBIGINT + xor(xor({random.SEED}::UBIGINT, 10850958532637439666::UBIGINT), 15138387576850295510::UBIGINT)) % {_U})::BIGINT AS x, p FROM a) SELECT i, ({_RESIDUE})::BIGINT AS value FROM b")
 def permutation_range(spark, sf_dir):
     return random.permutation(spark, _U)
 
