@@ -77,6 +77,30 @@ def test_packing_query_has_no_conflicts(spark, sf_dir):
     assert m["length"].sum() == docs["text"].str.split().str.len().sum()
 
 
+def shingle_set(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_packing_query_keeps_near_copies_apart(spark, sf_dir, odd):
+    got = QUERIES["op1_packing"](spark, sf_dir).toPandas()
+    text = {r.doc_id: shingle_set(r.text) for r in read_table(spark, sf_dir, "documents").collect()}
+    for _, ids in got.groupby(["shard", "bin"])["doc_id"]:
+        ids = sorted(set(ids))
+        for k, a in enumerate(ids):
+            assert not any(text[a] and len(text[a] & text[b]) >= 0.8 * len(text[a] | text[b]) for b in ids[k + 1 :])
+    base = [f"word{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:-1], f"end{i}"]), "en", f"source{i}", 0) for i in range(12)]
+    rows += [(100 + i, " ".join(f"other{i}x{j}" for j in range(60)), "en", f"source{i + 50}", 0) for i in range(12)]
+    near = packing.pack(packing.near_copies(spark.createDataFrame(rows, DOCS))).toPandas()
+    copies = near[near["doc_id"] < 100]
+    assert not copies.duplicated(["shard", "bin"]).any()
+    # the others join the bins of the copies
+    assert near.groupby(["shard", "bin"]).ngroups == 12
+    assert packing.pack(packing.near_copies(odd)).agg(F.sum("length")).first()[0] == 3 * 2 + 7 + 30000 + 3
+    assert packing.pack(packing.near_copies(odd.limit(0))).count() == 0
+
+
 def test_control_bytes_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 3, 4, 5, 1000):

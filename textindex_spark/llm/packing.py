@@ -24,7 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, words_of
+from . import jaccard_join
+from .common import materialize, read_table, words_of
 
 CAPACITY = 2048
 SHARD_ROWS = 4096
@@ -138,5 +139,20 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, cluster: Column |
     return pack(docs.select("doc_id", "source", words.alias("_w"), *[]).select("doc_id", F.size("_w").alias("length"), "source", same.alias("cluster")), capacity)
 
 
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, length, cluster) of every row: its number of words, and its class of the n-gram join.
+
+    An id with several texts has the smallest of its classes. A row without an id is in no class; its cluster is its
+    words, so that copies among such rows conflict.
+    """
+    words = words_of(F.lower(F.col("text")))
+    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words.alias("_w"))
+    own = F.when(F.size("_w") > 0, F.md5(F.array_join("_w", " ")))
+    unnamed = items.where("doc_id is null").select("doc_id", "source", F.size("_w").alias("length"), own.alias("cluster"))
+    of = jaccard_join.join(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").cast("string").alias("cluster"))
+    named = items.where("doc_id is not null").select("doc_id", "source", F.size("_w").alias("length"))
+    return named.join(of, "doc_id", "left").unionByName(unnamed)
+
+
 def op1_packing(spark, sf_dir) -> DataFrame:
-    return pack_documents(read_table(spark, sf_dir, "documents"))
+    return pack(materialize(near_copies(read_table(spark, sf_dir, "documents")), "items"))
