@@ -153,7 +153,10 @@ def signatures(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key, number of distinct shingles, labels) of every row; null from key on where a text has no word."""
+    """(doc_id, key, number of distinct shingles, labels, number of words) of every row, and its columns behind the text.
+
+    Key, shingles and labels are null where a text has no word.
+    """
     hasher = Hasher()
     for batch in batches:
         for a in range(0, batch.num_rows, 64):
@@ -166,7 +169,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 signed = signatures(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
                 for k, s, label in zip(some, sets, signed):
                     sizes[k], labels[k] = len(s), label.tobytes()
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([key_of(w) for w in words], pa.binary()), pa.array(sizes, pa.int64()), pa.array(labels, pa.binary())], ["doc_id", "key", "n", "labels"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([key_of(w) for w in words], pa.binary()), pa.array(sizes, pa.int64()), pa.array(labels, pa.binary()), pa.array([len(w) for w in words], pa.int64()), *part.columns[2:]], ["doc_id", "key", "n", "labels", "n_words", *part.schema.names[2:]])
 
 
 def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,10 +430,15 @@ def _bounded(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, key, class_id, n_links, first of every row; first: its id and text are those that stand for its class."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = materialize(docs.mapInArrow(_signed, "doc_id long, key binary, n long, labels binary"), "signatures")
+def classes(docs: DataFrame, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, key, class_id, n_links, first, n_words of every row, and the columns to carry along, as strings.
+
+    first: the row's id and text are those that stand for its class.
+    """
+    held = [f"carried_{k}" for k in range(len(carry))]
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[F.col(c).cast("string").alias(h) for c, h in zip(carry, held)])
+    schema = ", ".join(["doc_id long, key binary, n long, labels binary, n_words long", *[f"{h} string" for h in held]])
+    signed = materialize(docs.mapInArrow(_signed, schema), "signatures")
     grouped = signed.where(F.col("doc_id").isNotNull() & F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("labels").alias("labels"))
     # numbers of the representatives are theirs alone; they are fixed once the table is written
     reps = materialize(grouped.withColumn("rep", F.monotonically_increasing_id()), "representatives")
@@ -447,9 +455,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     names = known.groupBy("root").agg(F.min(F.struct("least", "key")).alias("name"))
     known = known.join(names, "root").select(F.col("key").alias("k"), "name", "links")
     known = _bounded(known, "classes")
-    rows = signed.select("doc_id", "key").join(known, F.col("key") == F.col("k"), "left")
+    rows = signed.select("doc_id", "key", "n_words", *held).join(known, F.col("key") == F.col("k"), "left")
     first = F.col("name").isNull() | ((F.col("doc_id") == F.col("name.least")) & (F.col("key") == F.col("name.key")))
-    return rows.select("doc_id", "key", F.coalesce("name.least", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), first.alias("first"))
+    return rows.select("doc_id", "key", F.coalesce("name.least", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), first.alias("first"), "n_words", *[F.col(h).alias(c) for c, h in zip(carry, held)])
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -142,16 +142,12 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, cluster: Column |
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, source, length, cluster) of every row: its number of words, and its class of the n-gram join.
 
-    An id with several texts has the smallest of its classes. A row without an id is in no class; its cluster is its
-    words, so that copies among such rows conflict.
+    Texts are read once, by the join. Rows of one id that are similar to no other row share a cluster. A row without an
+    id is in no class; its cluster is the key of its words, so that copies among such rows conflict.
     """
-    words = words_of(F.lower(F.col("text")))
-    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words.alias("_w"))
-    own = F.when(F.size("_w") > 0, F.md5(F.array_join("_w", " ")))
-    unnamed = items.where("doc_id is null").select("doc_id", "source", F.size("_w").alias("length"), own.alias("cluster"))
-    of = jaccard_join.join(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").cast("string").alias("cluster"))
-    named = items.where("doc_id is not null").select("doc_id", "source", F.size("_w").alias("length"))
-    return named.join(of, "doc_id", "left").unionByName(unnamed)
+    rows = jaccard_join.classes(docs, carry=("source",))
+    cluster = F.when(F.col("n_words") > 0, F.coalesce(F.col("class_id").cast("string"), F.hex("key")))
+    return rows.select("doc_id", "source", F.col("n_words").alias("length"), cluster.alias("cluster"))
 
 
 def op1_packing(spark, sf_dir) -> DataFrame:
