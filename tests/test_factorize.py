@@ -111,3 +111,15 @@ def test_falling_tree_stays_a_huffman_tree(t):
         left[c] -= 1
         left = {s: n for s, n in left.items() if n}
     assert not tree.leaf
+
+
+@settings(max_examples=100, deadline=None)
+@given(TEXTS)
+def test_previous_matches(t):
+    rank, before, after, lpf = textindex.previous_matches(t)
+    order = sorted(range(len(t)), key=lambda i: t[i:])
+    for i in range(len(t)):
+        low = [j for j in order[: rank[i]] if j < i]
+        high = [j for j in order[rank[i] + 1 :] if j < i]
+        assert order[rank[i]] == i and before[i] == (low[-1] if low else -1) and after[i] == (high[0] if high else -1)
+        assert lpf[i] == max((next((k for k in range(len(t) - i, 0, -1) if all(t[j + x] == t[i + x] for x in range(k))), 0) for j in range(i)), default=0)

@@ -126,6 +126,27 @@ def test_minimum_and_sketch():
     assert found[0][0] == 7 and all(n >= truth[k] for k, n, _ in found if k == 7)
 
 
+def test_document_hashes(spark, sf_dir):
+    import zlib
+
+    from textindex_spark.plans.catalog import QUERIES
+
+    got = {r.doc_id: r for r in QUERIES["document_hashes"](spark, sf_dir).collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    for doc_id, text in docs:
+        fnv, fp = 2166136261, 0
+        for b in text.encode():
+            fnv = (fnv ^ b) * 16777619 & 0xFFFFFFFF
+            fp = (fp * hashing.ROLLING_BASE + b) % ((1 << 61) - 1)
+        assert (got[doc_id].crc, got[doc_id].fnv, got[doc_id].fingerprint) == (zlib.crc32(text.encode()), fnv, fp)
+
+
+def test_gram_hash(spark):
+    p = (1 << 62) - 273
+    assert one(spark, hashing.gram_hash(0), hashing.gram_hash(1), hashing.gram_hash(2), hashing.gram_hash(-1), hashing.gram_hash((1 << 33) + 1)) == [0, ((1 << 64) - 1) % p, 0xAAAAAAAAAAAAAAAA % p, ((1 << 64) - 1) % p, (1 << 33) + 1]
+
+
 def test_permutation_is_one(spark):
     for u in (3, 10, 1000, 4099):
         got = [r.value for r in random.permutation(spark, u).collect()]

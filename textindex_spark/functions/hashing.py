@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .bits import _c, _shl, _ushr
+from .bits import _c, _shl, _ushr, bit_length
 
 M32 = (1 << 32) - 1
 #: FNV-1a, 32 bits.
@@ -15,6 +15,8 @@ FNV_BASIS, FNV_PRIME = 2166136261, 16777619
 #: Fixed value: Knuth's multiplier.
 KNUTH = 2654435761
 MERSENNE61 = (1 << 61) - 1
+#: Fixed value: the modulus of hashes of q-grams.
+GRAM_PRIME = (1 << 62) - 273
 #: A base of our own for rolling fingerprints, so that they are the same in every run.
 ROLLING_BASE = 1_000_003
 
@@ -77,6 +79,17 @@ def roll(fp: Column, out: Column, into: Column, window: int, base: int = ROLLING
     return F.pmod(mulmod61(fp, base) + into - mulmod61(out, lead), F.lit(MERSENNE61))
 
 
+def gram_hash(key) -> Column:
+    """Hash of a q-gram held in 64 bits: its significant bits, repeated as often as they fit, modulo GRAM_PRIME; 0 for 0."""
+    x = _c(key)
+    n = bit_length(x).cast("int")
+    more = F.when(2 * n <= 64, F.sequence(F.lit(1), F.floor((64 - n) / n).cast("int"))).otherwise(F.array().cast("array<int>"))
+    repeated = F.aggregate(more, x, lambda h, _: _shl(h, n).bitwiseOR(x))
+    wide = repeated.cast("decimal(20,0)")
+    unsigned = F.when(repeated < 0, wide + F.lit(Decimal(1 << 64))).otherwise(wide)
+    return F.when(x == 0, F.lit(0).cast("bigint")).otherwise((unsigned % F.lit(Decimal(GRAM_PRIME))).cast("bigint"))
+
+
 #: Our own odd multipliers, one for each row of a count-min sketch.
 CM_MULTIPLIERS = tuple((0x9E3779B1 * (2 * j + 1)) & M32 | 1 for j in range(8))
 CM_PRIME = (1 << 19) - 1

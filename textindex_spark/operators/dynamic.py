@@ -128,3 +128,15 @@ def contained(queries: DataFrame, spans: DataFrame, x: str, seq: str) -> DataFra
     """The queries whose key is live at their sequence number."""
     live = (F.col("ins") < F.col(seq)) & (F.coalesce("del", F.lit(1 << 62)) > F.col(seq))
     return queries.join(spans, (F.col(x) == F.col("key")) & live, "left_semi")
+
+
+def emit(spans: DataFrame, shift: int = 8) -> DataFrame:
+    """(pos, key): the keys that are live at the end, in order; positions count from 0.
+
+    Keys are numbered inside buckets of 2**shift keys and over the buckets' totals, so no task sees all keys.
+    """
+    live = _bucketed(spans.where("del is null").select("key"), shift)
+    totals = live.groupBy("bucket").agg(F.count(F.lit(1)).alias("t"))
+    base = totals.select("bucket", F.coalesce(F.sum("t").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    own = F.row_number().over(Window.partitionBy("bucket").orderBy("key")) - 1
+    return live.withColumn("own", own).join(base, "bucket").select((F.col("own") + F.col("base")).alias("pos"), "key")

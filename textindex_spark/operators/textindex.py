@@ -74,6 +74,44 @@ def suffixes(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_suffixes, "doc_id long, rank long, pos long, lcp long")
 
 
+def previous_matches(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each place: its rank in suffix order, the nearest earlier places before and after it in that order (-1 for
+    none), and the length of the longest match that begins earlier, which one of the two has."""
+    n = len(text)
+    if n == 0:
+        return (np.zeros(0, np.int64),) * 4
+    levels = doubled_ranks(text)
+    order = np.argsort(levels[-1], kind="stable")
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.arange(n)
+    before, after = np.full(n, -1, dtype=np.int64), np.full(n, -1, dtype=np.int64)
+    waiting: list[int] = []
+    for p in order.tolist():
+        while waiting and waiting[-1] > p:
+            after[waiting.pop()] = p
+        if waiting:
+            before[p] = waiting[-1]
+        waiting.append(p)
+    places = np.arange(n)
+    return rank, before, after, np.maximum(common_prefix(levels, places, before), common_prefix(levels, places, after))
+
+
+def _previous(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            rank, before, after, lpf = previous_matches((text or "").encode())
+            if n := len(rank):
+                near = [pa.array(x, mask=x < 0) for x in (before, after)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc_id, dtype=np.int64)), pa.array(np.arange(n)), pa.array(rank), *near, pa.array(lpf)], ["doc_id", "pos", "rank", "psv", "nsv", "lpf"])
+
+
+def previous_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, rank, psv, nsv, lpf) of the UTF-8 bytes of each document: inverse suffix array, nearest earlier
+    places on both sides in suffix order (NULL for none), and the longest previous factor."""
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(_previous, "doc_id long, pos long, rank long, psv long, nsv long, lpf long")
+
+
 def gram_rows(docs: DataFrame, q: int, by: list[str]) -> DataFrame:
     """(by, pos, gram): every q-gram of code points; positions from 1.
 

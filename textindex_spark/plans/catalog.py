@@ -372,6 +372,20 @@ def karp_rabin_items(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", hashing.karp_rabin(hashing.bytes_of(F.col("text"))).alias("fingerprint"))
 
 
+@query("WITH x AS (SELECT o_orderkey, (o_orderkey * 2654435761 % (1::BIGINT << (o_custkey % 62 + 1)::INTEGER))::BIGINT AS x FROM orders), r AS (SELECT *, length(bin(x)) AS n FROM x) SELECT o_orderkey, x, CASE WHEN x = 0 THEN 0 ELSE list_reduce(range(0, (64 - n) // n), lambda h, i: (h * (1::HUGEINT << n::INTEGER) + x::HUGEINT)::HUGEINT, x::HUGEINT) % 4611686018427387631 END::BIGINT AS hash FROM r")
+def gram_hashes(spark, sf_dir):
+    x = F.expr("o_orderkey * 2654435761 % shiftleft(1L, cast(o_custkey % 62 + 1 AS int))")
+    return table(spark, sf_dir, "orders").select("o_orderkey", x.alias("x"), hashing.gram_hash(x).alias("hash"))
+
+
+@query()
+def document_hashes(spark, sf_dir):
+    """All hashes of the bytes of whole documents."""
+    data = hashing.bytes_of(F.col("text"))
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    return docs.select("doc_id", hashing.crc32(F.encode("text", "UTF-8")).alias("crc"), hashing.fnv1a(data).alias("fnv"), hashing.karp_rabin(data).alias("fingerprint"))
+
+
 # sketches and frequent items
 
 _CM_WIDTH, _CM_HEIGHT = 1024, 2
@@ -431,6 +445,11 @@ def suffix_array_items(spark, sf_dir):
     return textindex.suffixes(_items(spark, sf_dir))
 
 
+@query(f"WITH {_BYTE_ITEMS}, {_SUFFIXES}, n AS (SELECT a.doc_id, a.pos, max(b.rank) FILTER (b.rank < a.rank) AS low, min(b.rank) FILTER (b.rank > a.rank) AS high FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.pos < a.pos GROUP BY ALL) SELECT s.doc_id, s.pos, s.rank, l.pos AS psv, h.pos AS nsv, coalesce(list_max(list_filter(range(1, length(s.t) + 1), lambda k: instr(substr(b.text, 1, (s.pos + k - 1)::BIGINT), substr(s.t, 1, k)) > 0)), 0)::BIGINT AS lpf FROM s JOIN b ON b.item_id = s.doc_id LEFT JOIN n ON n.doc_id = s.doc_id AND n.pos = s.pos LEFT JOIN s l ON l.doc_id = s.doc_id AND l.rank = n.low LEFT JOIN s h ON h.doc_id = s.doc_id AND h.rank = n.high")
+def previous_factor_items(spark, sf_dir):
+    return textindex.previous_table(_items(spark, sf_dir))
+
+
 @query()
 def suffix_array_docs(spark, sf_dir):
     s = textindex.suffixes(table(spark, sf_dir, "documents"))
@@ -543,6 +562,11 @@ def dyn_contains(spark, sf_dir):
     return dynamic.contained(ops.where("opcode = 'Q'").select("op_seq", F.col("key").alias("x")), dynamic.intervals(ops), "x", "op_seq")
 
 
+@query(f"WITH {_OPS} SELECT row_number() OVER (ORDER BY key) - 1 AS pos, key FROM iv WHERE del IS NULL")
+def dyn_emit(spark, sf_dir):
+    return dynamic.emit(dynamic.intervals(operations(spark, sf_dir)), 4)
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey + 1 AS x, l_partkey + 1 AS gamma, l_partkey + 1 AS delta, l_partkey + 1 AS rice, l_partkey + 1 AS plain, (l_partkey % 50)::BIGINT AS unary FROM lineitem")
 def codes_roundtrip(spark, sf_dir):
     x, small = F.col("l_partkey") + 1, F.col("l_partkey") % 50
