@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .sketch import AugmentedSketch
-from .textindex import common_prefix, doubled_ranks
+from .textindex import previous_matches
 
 FACTORS = "doc_id long, seq long, pos long, src long, len long, literal smallint"
 Factor = tuple[int, int]  # (source, length); a literal has length 0 and its byte as source
@@ -36,18 +36,7 @@ def lz77(t: bytes, threshold: int = 2) -> list[Factor]:
     n = len(t)
     if n < 2:
         return literals(t)
-    levels = doubled_ranks(t)
-    order = np.argsort(levels[-1], kind="stable")
-    left, right = np.full(n, -1, dtype=np.int64), np.full(n, -1, dtype=np.int64)
-    waiting: list[int] = []
-    for p in order.tolist():
-        while waiting and waiting[-1] > p:
-            right[waiting.pop()] = p
-        if waiting:
-            left[p] = waiting[-1]
-        waiting.append(p)
-    places = np.arange(n)
-    by_left, by_right = common_prefix(levels, places, left), common_prefix(levels, places, right)
+    _, left, right, by_left, by_right = previous_matches(t)
     source, length = np.where(by_left >= by_right, left, right).tolist(), np.maximum(by_left, by_right).tolist()
     out, i = [], 0
     while i < n:

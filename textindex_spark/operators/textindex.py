@@ -1,8 +1,9 @@
 """Suffix arrays, LCP arrays and q-gram tables of documents.
 
 Suffix arrays are built in one pass over the documents, a document at a time, by prefix doubling on numpy arrays
-(n log n sorting steps): suffixes themselves are never written out, so a text of n bytes costs O(n) memory. q-grams are
-exploded and counted by Spark with map-side combination.
+(n log n sorting steps): suffixes themselves are never written out. The ranks of all log n widths are kept for common
+prefixes, so a text of n bytes costs 8 n log n bytes at most. q-grams are exploded and counted by Spark with map-side
+combination.
 """
 
 from __future__ import annotations
@@ -74,12 +75,12 @@ def suffixes(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_suffixes, "doc_id long, rank long, pos long, lcp long")
 
 
-def previous_matches(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def previous_matches(text: bytes) -> tuple[np.ndarray, ...]:
     """For each place: its rank in suffix order, the nearest earlier places before and after it in that order (-1 for
-    none), and the length of the longest match that begins earlier, which one of the two has."""
+    none), and the lengths of the matches there, the longer of which is the longest that begins earlier."""
     n = len(text)
     if n == 0:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
     levels = doubled_ranks(text)
     order = np.argsort(levels[-1], kind="stable")
     rank = np.empty(n, dtype=np.int64)
@@ -93,16 +94,16 @@ def previous_matches(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
             before[p] = waiting[-1]
         waiting.append(p)
     places = np.arange(n)
-    return rank, before, after, np.maximum(common_prefix(levels, places, before), common_prefix(levels, places, after))
+    return rank, before, after, common_prefix(levels, places, before), common_prefix(levels, places, after)
 
 
 def _previous(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-            rank, before, after, lpf = previous_matches((text or "").encode())
+            rank, before, after, *lengths = previous_matches((text or "").encode())
             if n := len(rank):
                 near = [pa.array(x, mask=x < 0) for x in (before, after)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc_id, dtype=np.int64)), pa.array(np.arange(n)), pa.array(rank), *near, pa.array(lpf)], ["doc_id", "pos", "rank", "psv", "nsv", "lpf"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc_id, dtype=np.int64)), pa.array(np.arange(n)), pa.array(rank), *near, pa.array(np.maximum(*lengths))], ["doc_id", "pos", "rank", "psv", "nsv", "lpf"])
 
 
 def previous_table(docs: DataFrame) -> DataFrame:
