@@ -371,6 +371,51 @@ def test_jaccard_join_of_an_id_with_two_texts(spark):
     assert sorted(map(tuple, jaccard_join.keep_one(docs).collect())) == [(5, a), (5, b)]
 
 
+def test_words_of_all_lengths_have_hashes_of_their_own():
+    j = jaccard_join
+    words = [b"a" * n for n in range(1, 140)] + [b"a" * n + b"\0" for n in range(1, 140)] + ["\u00e9\u4e2d".encode() * 9, b"b" * 63, b"b" * 64, b"b" * 65]
+    h, offsets = j.word_hashes([b" ".join(words), b"a", b" ".join(reversed(words))])
+    assert offsets.tolist() == [0, len(words), len(words) + 1, 2 * len(words) + 1]
+    assert len(set(h.tolist())) == len(words) and h[len(words)] == h[0] and h[len(words) + 1 :][::-1].tolist() == h[: len(words)].tolist()
+    rng = random.Random(4)
+    for text in [None, "", " \n\t", *("".join(rng.choice("aB\u0130 \t\n\x0b\x0c\r\x1c\x85\u2003") for _ in range(rng.randint(0, 30))) for _ in range(500))]:
+        assert j.plain(text) == b" ".join((text or "").lower().encode().split())
+
+
+def test_signing_costs_a_few_times_what_splitting_costs():
+    import time
+
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+
+    def least(f):
+        took = []
+        for _ in range(3):
+            began = time.thread_time()
+            f()
+            took.append(time.thread_time() - began)
+        return min(took)
+
+    # 34 times as long as splitting with a dictionary of word hashes and min-hashes of 64 bits, 3 times without (measured once)
+    assert least(lambda: list(jaccard_join._signed(iter([batch])))) < 6 * least(lambda: [t.lower().encode().split() for t in texts])
+
+
+def test_min_hashes_agree_as_often_as_sets_are_similar():
+    rng = np.random.default_rng(3)
+    for similarity in (0.6, 0.8, 0.9):
+        same = []
+        for _ in range(100):
+            h = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
+            both, rest = int(300 * similarity), int(300 * (1 - similarity) / 2)
+            s = jaccard_join.signatures(np.concatenate([h[: both + rest], h[:both], h[both + rest :]]), np.array([0, both + rest, 300 + both]))
+            same.append((s[0] == s[1]).reshape(jaccard_join.TREES, jaccard_join.DEPTH))
+        assert abs(np.mean(same) - similarity) < 0.02
+        assert abs(np.mean(np.all(np.array(same)[:, :, :6], axis=2)) - similarity**6) < 0.04
+
+
 def test_prefixes_shorten_until_the_recall():
     j = jaccard_join
     assert j.least_depth() == 6 and [j.enough_matches(k) for k in (6, 7, 8)] == [0, 2, 7]

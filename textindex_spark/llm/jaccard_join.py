@@ -56,10 +56,13 @@ BROADCAST_ROWS = 300_000
 SEED = 147
 #: Columns of the incidence matrix that are multiplied at once.
 COLUMNS = 4096
-#: Word hashes that a worker keeps.
-MEMORY = 300_000
+#: Bytes up to which words are hashed together.
+LONG = 64
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
+BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+#: The lowest k bytes of a number.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def missed(similarity: float, depth: int, trees: int = TREES) -> float:
@@ -107,49 +110,63 @@ def shingles(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return h, begins
 
 
-def words_of_text(text: str | None) -> list[bytes]:
-    """Lower-case words; bytes are split at exactly the six blanks of ASCII."""
-    return (text or "").lower().encode().split()
+def plain(text: str | None) -> bytes:
+    """The lower-case words of a text, with one space between them; words are split at exactly the six blanks of ASCII."""
+    low = (text or "").lower().encode().translate(BLANKS)
+    while b"  " in low:
+        low = low.replace(b"  ", b" ")
+    return low.strip(b" ")
 
 
-def key_of(words: list[bytes]) -> bytes | None:
-    """Key of a word sequence, equal for copies; null where there is no word."""
-    return hashlib.md5(b" ".join(words), usedforsecurity=False).digest() if words else None
+def key_of(words: bytes) -> bytes | None:
+    """Key of a plain text, equal for copies; null where there is no word."""
+    return hashlib.md5(words, usedforsecurity=False).digest() if words else None
 
 
-class Hasher:
-    """64-bit hashes of words; remembers those it has met, up to a bound."""
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of plain texts, and where each text's begin. Texts have a word at least.
 
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def arrays(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words of the texts, and where each text's begin."""
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        for w in set().union(*texts).difference(self.known):
-            self.known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        offsets = np.concatenate([[0], np.cumsum([len(w) for w in texts])]).astype(np.int64)
-        return np.fromiter((self.known[w] for t in texts for w in t), dtype=np.uint64, count=int(offsets[-1])), offsets
-
-    def shingles(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """The distinct shingle hashes of each text, in ascending order."""
-        if not texts:
-            return []
-        h, begins = shingles(*self.arrays(texts))
-        return [np.unique(h[a:b]) for a, b in zip(begins[:-1], begins[1:])]
+    Words are read eight bytes at a time, all words at once; those over LONG bytes are hashed one by one.
+    """
+    joined = b" ".join(texts) + bytes(8)
+    size = len(joined) - 8
+    eight = np.ndarray(size, "<u8", joined, strides=(1,))  # the eight bytes from each place on
+    ends = np.append(np.flatnonzero(np.frombuffer(joined, np.uint8, size) == 32), size)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = ends - starts
+    h = mix(n.astype(np.uint64) * MIX + (eight[starts] & FIRST[np.minimum(n, 8)]))
+    for k in range(8, LONG, 8):
+        at = np.flatnonzero(n > k)
+        if not len(at):
+            break
+        h[at] = mix(h[at] * MIX + (eight[starts[at] + k] & FIRST[np.minimum(n[at] - k, 8)]))
+    for i in np.flatnonzero(n > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(joined[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    last = np.cumsum([len(t) + 1 for t in texts]) - 1
+    return h, np.concatenate([[0], np.searchsorted(ends, last) + 1])
+
+
+def distinct(h: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
+    """The distinct hashes of each text, in ascending order."""
+    out = []
+    for a, b in zip(begins[:-1], begins[1:]):
+        s = np.sort(h[a:b])
+        out.append(s[np.append(True, s[1:] != s[:-1])])
+    return out
 
 
 def signatures(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """TREES * DEPTH min-hashes of 16 bits for each text, in big-endian bytes, so that byte order is label order."""
-    rng = np.random.default_rng(SEED)
-    odd = rng.integers(0, 1 << 62, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    flip = rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
-    out = np.empty((len(begins) - 1, TREES * DEPTH), dtype=">u2")
+    """TREES * DEPTH min-hashes of 16 bits for each text, in big-endian bytes, so that byte order is label order.
+
+    Minima are taken over odd numbers of 32 bits, times an odd factor of each min-hash: a bijection of these numbers.
+    """
+    odd = np.random.default_rng(SEED).integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    low = np.empty((TREES * DEPTH, len(begins) - 1), dtype=np.uint32)
+    h = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    moved = np.empty_like(h)
     for j in range(TREES * DEPTH):
-        low = np.minimum.reduceat((h ^ flip[j]) * odd[j], begins[:-1])
-        out[:, j] = (mix(low) >> np.uint64(48)).astype(np.uint16)
-    return out
+        np.minimum.reduceat(np.multiply(h, odd[j], out=moved), begins[:-1], out=low[j])
+    return np.ascontiguousarray((mix(low.T.astype(np.uint64)) >> np.uint64(48)).astype(">u2"))
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,19 +174,18 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Key, shingles and labels are null where a text has no word.
     """
-    hasher = Hasher()
     for batch in batches:
         for a in range(0, batch.num_rows, 64):
             part = batch.slice(a, 64)
-            words = [words_of_text(t) for t in part.column(1).to_pylist()]
-            some = [k for k, w in enumerate(words) if w]
-            sets = hasher.shingles([words[k] for k in some])
-            sizes, labels = [None] * len(words), [None] * len(words)
-            if sets:
-                signed = signatures(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
-                for k, s, label in zip(some, sets, signed):
+            texts = [plain(t) for t in part.column(1).to_pylist()]
+            some = [k for k, t in enumerate(texts) if t]
+            sizes, labels = [None] * len(texts), [None] * len(texts)
+            if some:
+                h, begins = shingles(*word_hashes([texts[k] for k in some]))
+                for k, s, label in zip(some, distinct(h, begins), signatures(h, begins)):
                     sizes[k], labels[k] = len(s), label.tobytes()
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([key_of(w) for w in words], pa.binary()), pa.array(sizes, pa.int64()), pa.array(labels, pa.binary()), pa.array([len(w) for w in words], pa.int64()), *part.columns[2:]], ["doc_id", "key", "n", "labels", "n_words", *part.schema.names[2:]])
+            n_words = [t.count(b" ") + 1 if t else 0 for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([key_of(t) for t in texts], pa.binary()), pa.array(sizes, pa.int64()), pa.array(labels, pa.binary()), pa.array(n_words, pa.int64()), *part.columns[2:]], ["doc_id", "key", "n", "labels", "n_words", *part.schema.names[2:]])
 
 
 def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,13 +315,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rep, distinct shingle hashes) of the rows whose text has the key that is looked for."""
-    hasher = Hasher()
     for batch in batches:
-        for a in range(0, batch.num_rows, 256):
-            reps, keys, texts = (c.to_pylist() for c in batch.slice(a, 256).columns)
-            words = [words_of_text(t) for t in texts]
-            some = [k for k, w in enumerate(words) if key_of(w) == keys[k]]
-            yield pa.RecordBatch.from_arrays([pa.array([reps[k] for k in some], pa.int64()), pa.array([s.tobytes() for s in hasher.shingles([words[k] for k in some])], pa.binary())], ["rep", "shingles"])
+        for a in range(0, batch.num_rows, 64):
+            reps, keys, texts = (c.to_pylist() for c in batch.slice(a, 64).columns)
+            texts = [plain(t) for t in texts]
+            some = [k for k, t in enumerate(texts) if t and key_of(t) == keys[k]]
+            sets = distinct(*shingles(*word_hashes([texts[k] for k in some]))) if some else []
+            yield pa.RecordBatch.from_arrays([pa.array([reps[k] for k in some], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "shingles"])
 
 
 def _links(sets: list[np.ndarray], left: int, threshold: float) -> np.ndarray:
@@ -470,7 +486,7 @@ def _keyed(name: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [key_of(words_of_text(t)) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            keys = [key_of(plain(t)) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, name])
 
     return run
