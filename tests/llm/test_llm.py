@@ -460,6 +460,53 @@ def test_components_against_brute_force(spark):
     assert set(got) == set(root) and len(set(got.values())) == len(set(root.values())) == len({(got[n], root[n]) for n in root})
 
 
+@pytest.mark.parametrize("few", [0, 40, 1 << 20])
+def test_components_in_rounds_and_in_one_task(few, spark, monkeypatch):
+    written, materialize = [], jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    monkeypatch.setattr(jaccard_join, "FEW_EDGES", few)
+    chain = list(range(300))
+    random.Random(8).shuffle(chain)
+    edges = [(min(a, b), max(a, b)) for a, b in zip(chain[:200], chain[1:200])] + [(1000, 1001), (1000, 1002), (1 << 60, 5 + (1 << 60))]
+    got = {r.node: r.root for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got) == {n for e in edges for n in e}
+    for group in (chain[:200], range(1000, 1003), [1 << 60, 5 + (1 << 60)]):
+        assert len({got[n] for n in group}) == 1 and got[group[0]] in group
+    # few edges cost two small tables, instead of five for each round
+    assert (len(written) == 2) == (few > len(edges))
+    assert jaccard_join.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_connected_against_sets():
+    rng = np.random.default_rng(7)
+    for n, m in [(1, 0), (2, 1), (50, 20), (50, 45), (400, 390), (400, 2000)]:
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        group = {k: {k} for k in range(n)}
+        for x, y in zip(a.tolist(), b.tolist()):
+            for k in (both := group[x] | group[y]):
+                group[k] = both
+        assert jaccard_join.connected(n, a, b).tolist() == [min(group[k]) for k in range(n)]
+
+
+@pytest.mark.parametrize("batches, words", [(1, 10000), (30, 100)])
+def test_signing_holds_a_bounded_part_of_the_texts(batches, words):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = [[" ".join(f"w{rng.randrange(10**9)}" for _ in range(words)) for _ in range(64)] for _ in range(batches)]
+    given = [pa.RecordBatch.from_arrays([pa.array(range(64)), pa.array(t)], ["doc_id", "text"]) for t in texts]
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in jaccard_join._signed(iter(given))) == 64 * batches
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # 64 long texts are not hashed together, and words are not kept from one batch to the next
+    assert peak < 20_000_000
+
+
 def test_masks_hit_every_stretch():
     from itertools import combinations
 

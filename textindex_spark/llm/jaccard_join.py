@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -58,6 +59,11 @@ SEED = 147
 COLUMNS = 4096
 #: Bytes up to which words are hashed together.
 LONG = 64
+#: Rows and bytes of text that are hashed at once (but one text, however long).
+PART_ROWS = 64
+PART_BYTES = 1 << 20
+#: Edges (16 bytes each) that one task connects.
+FEW_EDGES = 1 << 20
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -169,14 +175,24 @@ def signatures(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray((mix(low.T.astype(np.uint64)) >> np.uint64(48)).astype(">u2"))
 
 
+def _parts(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of PART_ROWS and PART_BYTES at most; text: its column of texts."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < batch.num_rows:
+        fit = int(np.searchsorted(size, (size[a - 1] if a else 0) + PART_BYTES, side="right"))
+        b = min(a + PART_ROWS, max(a + 1, fit))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, key, number of distinct shingles, labels, number of words) of every row, and its columns behind the text.
 
     Key, shingles and labels are null where a text has no word.
     """
     for batch in batches:
-        for a in range(0, batch.num_rows, 64):
-            part = batch.slice(a, 64)
+        for part in _parts(batch, 1):
             texts = [plain(t) for t in part.column(1).to_pylist()]
             some = [k for k, t in enumerate(texts) if t]
             sizes, labels = [None] * len(texts), [None] * len(texts)
@@ -283,16 +299,40 @@ def ties(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node that each of the nodes under n is connected with, by the edges (a, b)."""
+    root = np.arange(n)
+    while len(a):
+        # all but the local minima among the roots that are left get another root, so at most half of them stay
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    return root
+
+
+def _connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all nodes of the (a, b) edges."""
+    rows = [b for b in batches if b.num_rows]
+    if rows:
+        a, b = (np.concatenate([r.column(k).to_numpy() for r in rows]) for k in (0, 1))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = connected(len(nodes), at[: len(a)], at[len(a) :])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): one node that stands for each node's component, for all nodes of the (a, b) edges.
 
-    A round gives each node the smallest of itself and its neighbours, follows that one step further, and contracts:
+    One task connects up to FEW_EDGES edges. While there are more, rounds contract them. A round gives each node the smallest of itself and its neighbours, follows that one step further, and contracts:
     edges are renamed and those inside a contracted node go. All but the local minima vanish in a round, and so do most
     edges. Rounds are written to the shared folder, so a lost executor costs no more than the round it was in.
     """
     left = materialize(edges.select("a", "b"), "edges")
     known = None
-    while True:
+    while (n := left.count()) > FEW_EDGES:
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")), "up")
         hop = up.select(F.col("node").alias("n1"), F.col("up").alias("top"))
@@ -309,15 +349,20 @@ def components(edges: DataFrame) -> DataFrame:
         again = tops.join(of_a, tops["top"] == of_a["na"]).select(F.col("top").alias("ta"), F.col("ta").alias("tb"))
         renamed = left.join(of_a, left["a"] == of_a["na"]).join(of_b, F.col("b") == F.col("nb")).select("ta", "tb").unionByName(again).where("ta <> tb")
         left = materialize(renamed.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
-        if left.limit(1).count() == 0:
-            return known
+    if known is not None and n == 0:
+        return known
+    last = materialize(left.coalesce(1).mapInArrow(_connected, "node long, root long"), "roots")
+    if known is None:
+        return last
+    step = last.select(F.col("node").alias("n1"), F.col("root").alias("next"))
+    return materialize(known.join(step, known["root"] == step["n1"], "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rep, distinct shingle hashes) of the rows whose text has the key that is looked for."""
     for batch in batches:
-        for a in range(0, batch.num_rows, 64):
-            reps, keys, texts = (c.to_pylist() for c in batch.slice(a, 64).columns)
+        for part in _parts(batch, 2):
+            reps, keys, texts = (c.to_pylist() for c in part.columns)
             texts = [plain(t) for t in texts]
             some = [k for k, t in enumerate(texts) if t and key_of(t) == keys[k]]
             sets = distinct(*shingles(*word_hashes([texts[k] for k in some]))) if some else []
@@ -357,19 +402,8 @@ def _links(sets: list[np.ndarray], left: int, threshold: float) -> np.ndarray:
 
 def _roots(linked: np.ndarray, left: int) -> np.ndarray:
     """Each text's smallest connected text."""
-    n = len(linked) if not left else sum(linked.shape)
     a, b = np.nonzero(linked)
-    if left:
-        b = b + left
-    root = np.arange(n)
-    while True:
-        low = root.copy()
-        np.minimum.at(low, a, root[b])
-        np.minimum.at(low, b, root[a])
-        low = low[low]
-        if (low == root).all():
-            return root
-        root = low
+    return connected(len(linked) if not left else sum(linked.shape), a, b + left)
 
 
 def _verified(threshold: float):
