@@ -60,3 +60,19 @@ def test_grams_become_few_rows(spark, monkeypatch):
         d = textindex.qgrams(docs, 4, ["g"])
         assert {(r.g, r.gram): (r.n, r.first_pos, r.last_pos) for r in d.collect()} == want
     assert "Generate" not in d._jdf.queryExecution().toString()
+
+
+def test_trees_keep_no_table_of_weights():
+    """Leaders are found beside a node; no table of weights is kept, and a tree that grows anew needs no heap."""
+    tree = coding.Adaptive()
+    bits = "".join(map(tree.encode, b"abracadabra" * 9))
+    assert not hasattr(tree, "lead") and coding.adaptive_decode(bits) == b"abracadabra" * 9
+    left = coding.Falling({97: 5, 98: 2, 99: 2, 100: 1, coding.ESCAPE: 1})
+    assert not hasattr(left, "last") and sum(n * left.depth(s) for s, n in left.counts().items()) == sum(n * k for n, k in zip((5, 2, 2, 1, 1), coding.code_lengths([5, 2, 2, 1, 1])))
+
+
+def test_broken_static_codes_are_found():
+    import pytest
+
+    with pytest.raises(ValueError):
+        coding.CODERS["delta0"][1]("0" * 15 + "1")
