@@ -1,4 +1,4 @@
-"""Bit and integer functions as column expressions; all stay inside the JVM.
+"""Bit and integer functions as column expressions; all but the tests for primes stay inside the JVM.
 
 Whole numbers are BIGINT. Results that do not exist (a select beyond the last bit, a code of a number that has none) are
 NULL. Codes are strings of the characters 0 and 1, most significant bit first.
@@ -6,6 +6,7 @@ NULL. Codes are strings of the characters 0 and 1, most significant bit first.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,33 +69,69 @@ def isqrt_ceil(x) -> Column:
 
 
 def is_prime(x) -> Column:
-    """Trial division by 2, 3 and the numbers one beside multiples of six."""
-    v = _c(x)
-    tries = F.sequence(F.lit(5).cast("bigint"), F.greatest(isqrt_floor(v), F.lit(5).cast("bigint")), F.lit(6).cast("bigint"))
-    free = F.forall(tries, lambda d: ((v % d != 0) | (v == d)) & ((v % (d + 2) != 0) | (v == d + 2)))
-    return F.when(v < 2, F.lit(False)).when(v < 4, F.lit(True)).when((v % 2 == 0) | (v % 3 == 0), F.lit(False)).otherwise(free)
+    """Strong-probable-prime tests with bases that leave no doubt."""
+
+    @F.pandas_udf("boolean")
+    def test(values):
+        return values.map(prime)
+
+    v = _c(x).cast("bigint")
+    return F.when(v.isNotNull(), test(F.coalesce(v, F.lit(0).cast("bigint"))))
+
+
+#: Bases whose strong-probable-prime tests together are exact below 2**64 (fixed values).
+_BASES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37)
 
 
-#: No two neighbouring primes below 2**64 are further apart (a fixed value).
-LONGEST_GAP = 1550
+def prime(n: int) -> bool:
+    """Exact below 2**64."""
+    if n < 2:
+        return False
+    for p in _BASES:
+        if n % p == 0:
+            return n == p
+    if n < 41 * 41:
+        return True
+    s = (n - 1 & 1 - n).bit_length() - 1
+    for base in _BASES[:4] if n < 3_215_031_751 else _BASES:
+        x = pow(base, n - 1 >> s, n)
+        if x not in (1, n - 1) and not any((x := x * x % n) == n - 1 for _ in range(s - 1)):
+            return False
+    return True
 
 
-def _first_prime(tries: Column) -> Column:
-    """The first prime of an array; numbers after it are not tested."""
-    return F.aggregate(tries, F.lit(None).cast("bigint"), lambda found, c: F.when(found.isNotNull(), found).when(is_prime(c), c))
+def nearest_primes(values: list[int], step: int) -> list[int | None]:
+    """For each value the nearest prime from it on in steps of -1 or 1, None if there is none of 63 bits.
+
+    Values are taken in order, so a number between two of them is tested once.
+    """
+    found: dict[int, int | None] = {}
+    last, answer = None, None
+    for v in sorted(set(values), reverse=step > 0):
+        k = max(v, 2) if step > 0 else v
+        while 2 <= k < 1 << 63 and k != last and not prime(k):
+            k += step
+        answer = answer if k == last else k if 2 <= k < 1 << 63 else None
+        found[v], last = answer, v
+    return [found[v] for v in values]
+
+
+def _prime_column(v: Column, step: int) -> Column:
+    @F.pandas_udf("bigint")
+    def nearest(values):
+        return pd.Series(nearest_primes(values.tolist(), step), dtype="Int64")
+
+    return nearest(F.coalesce(v, F.lit(0).cast("bigint")))  # without nulls, which would make numbers floating
 
 
 def prime_predecessor(x) -> Column:
     """The largest prime up to x; NULL below 2."""
-    v = _c(x).cast("bigint")
-    low = F.greatest(v - LONGEST_GAP, F.lit(2).cast("bigint"))
-    return F.when(v >= 2, _first_prime(F.sequence(F.greatest(v, low), low, F.lit(-1).cast("bigint"))))
+    return _prime_column(_c(x).cast("bigint"), -1)
 
 
 def prime_successor(x) -> Column:
     """The smallest prime from x on."""
-    v = F.greatest(_c(x).cast("bigint"), F.lit(2).cast("bigint"))
-    return _first_prime(F.sequence(v, v + LONGEST_GAP))
+    return _prime_column(F.greatest(_c(x).cast("bigint"), F.lit(2).cast("bigint")), 1)
 
 
 def popcnt(x) -> Column:
